@@ -28,3 +28,17 @@ select doc_id, source, cast(size as bigint) size, cast(crc as bigint) text_crc32
   cast(p - (cast(p * 8 // m as bigint) * m + 7) // 8 as bigint) slot, cast(null as int) grown_shard
 from p
 """
+
+#: All links between documents with a common shingle, then the least reachable id.
+NEAR_COPIES = """
+with recursive w as (select doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) s from w),
+n as (select doc_id, cast(len(s) as bigint) n from s),
+e as (select doc_id, unnest(s) g from s),
+i as (select a.doc_id a, b.doc_id b, count(*) k from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+both_ways as (select a, b from l union all select b, a from l),
+r(doc_id, c) as (select doc_id, doc_id from n union select r.doc_id, b from r join both_ways on a = r.c)
+select n.doc_id, n.n n_shingles, min(c) component_id, n.doc_id = min(c) kept from n join r on r.doc_id = n.doc_id group by n.doc_id, n.n
+"""

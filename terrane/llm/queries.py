@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, lm, oracles, packing, quality, sharding, toxicity, warc
+from . import decontamination, language, lm, nearcopies, oracles, packing, quality, sharding, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +47,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_nearcopies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.cluster(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_sharding, op3_language, op4_class_lm, op5_quality, op7_packing, op8_toxicity, op9_decontamination)}
+    return {f.__name__: f for f in (op1_warc, op2_sharding, op3_language, op4_class_lm, op5_quality, op7_packing, op8_toxicity, op9_decontamination, op10_nearcopies)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": oracles.WARC, "op2_sharding": oracles.SHARDING}
+    return {"op1_warc": oracles.WARC, "op2_sharding": oracles.SHARDING, "op10_nearcopies": oracles.NEAR_COPIES}
