@@ -42,3 +42,14 @@ both_ways as (select a, b from l union all select b, a from l),
 r(doc_id, c) as (select doc_id, doc_id from n union select r.doc_id, b from r join both_ways on a = r.c)
 select n.doc_id, n.n n_shingles, min(c) component_id, n.doc_id = min(c) kept from n join r on r.doc_id = n.doc_id group by n.doc_id, n.n
 """
+
+PHRASES = """
+with w as (select doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents),
+v as (select doc_id, s, array_to_string(w[s + 1 : s + 20], ' ') g from (select doc_id, w, unnest(range(0, len(w) - 19)) s from w)),
+f as (select *, row_number() over (partition by g order by doc_id, s) k from v),
+gone as (select distinct doc_id, s + i p from f, (select unnest(range(0, 20)) i) where k > 1),
+k as (select doc_id, p, x from (select doc_id, unnest(w) x, unnest(range(0, len(w))) p from w) anti join gone using (doc_id, p)),
+t as (select doc_id, count(*) n, string_agg(x, ' ' order by p) t from k group by doc_id)
+select w.doc_id, cast(len(w.w) as bigint) n_words, cast(len(w.w) - coalesce(t.n, 0) as bigint) n_removed, sha256(coalesce(t.t, '')) kept_sha256
+from w left join t using (doc_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, lm, nearcopies, oracles, packing, quality, sharding, toxicity, warc
+from . import decontamination, language, lm, nearcopies, oracles, packing, phrases, quality, sharding, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.find_repeats(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -52,8 +56,8 @@ def op10_nearcopies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_sharding, op3_language, op4_class_lm, op5_quality, op7_packing, op8_toxicity, op9_decontamination, op10_nearcopies)}
+    return {f.__name__: f for f in (op1_warc, op2_sharding, op3_language, op4_class_lm, op5_quality, op6_phrases, op7_packing, op8_toxicity, op9_decontamination, op10_nearcopies)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": oracles.WARC, "op2_sharding": oracles.SHARDING, "op10_nearcopies": oracles.NEAR_COPIES}
+    return {"op1_warc": oracles.WARC, "op2_sharding": oracles.SHARDING, "op6_phrases": oracles.PHRASES, "op10_nearcopies": oracles.NEAR_COPIES}
