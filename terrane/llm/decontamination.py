@@ -128,64 +128,78 @@ def _tokens_near(tokens: np.ndarray, hits: np.ndarray, shortest: int) -> list[in
     return out.tolist()
 
 
+def leaks_of(items: _Items, text: bytes, coverage: float) -> list[tuple]:
+    """(item_id, matched words, item words, coverage) of the block's items that the text leaks."""
+    shortest = items.shortest
+    get = items.ids.get
+    tokens = np.array([get(w, 0) for w in plain_words(text)], np.int64)
+    h = items.windows(tokens.astype(np.uint64))
+    if not len(h) or not len(items.seeds):
+        return []
+    zero = np.concatenate([[0], np.cumsum(tokens == 0)])
+    places = np.flatnonzero(zero[shortest:] == zero[:-shortest])  # windows of item words only
+    left = np.searchsorted(items.seeds, h[places])
+    right = np.searchsorted(items.seeds, h[places], "right")
+    some = right > left
+    near: dict[int, list[int]] = {}
+    for p, a, z in zip(places[some].tolist(), left[some].tolist(), right[some].tolist()):
+        for k in set(items.owners[a:z].tolist()):
+            near.setdefault(k, []).append(p)
+    out = []
+    for k, hits in near.items():
+        item_id, item = items.items[k]
+        if shortest * len(hits) < coverage * len(item):
+            continue  # even disjoint seeds can't reach the threshold
+        n = sum(t[2] for t in tile(_tokens_near(tokens, np.array(hits), shortest), item, shortest))
+        if n and n >= coverage * len(item):
+            out.append((item_id, n, len(item), n / len(item)))
+    return out
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The distinct items, a block at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("text is not null").distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = 1 + total // block_bytes
+    for k in range(n):
+        yield [(r["item_id"], r["text"].encode()) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, shortest: int = MIN_MATCH, block_bytes: int = 32 << 20) -> DataFrame:
     """``doc_id, item_id, matched_words, item_words, coverage`` of each document and item that it leaks.
 
     Null and empty texts leak nothing and are not leaked, nor are items of fewer than ``shortest`` words.  A null item_id or
     doc_id is kept as it is.  Equal item rows count once.  Repeated documents each have their rows.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("text is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + total // block_bytes
+    text_batches(docs.sparkSession)
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
     names = [x.split()[0] for x in LEAKS.split(", ")]
 
     def scan(block: list[tuple[int, bytes]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            its = _Items(block, shortest)
-            get = its.ids.get
+            items = _Items(block, shortest)
             for b in batches:
-                rows = []
-                for doc, text in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
-                    tokens = np.array([get(w, 0) for w in plain_words(text)], np.int64)
-                    h = its.windows(tokens.astype(np.uint64))
-                    if not len(h) or not len(its.seeds):
-                        continue
-                    zero = np.concatenate([[0], np.cumsum(tokens == 0)])
-                    places = np.flatnonzero(zero[shortest:] == zero[:-shortest])  # windows of item words only
-                    left = np.searchsorted(its.seeds, h[places])
-                    right = np.searchsorted(its.seeds, h[places], "right")
-                    some = right > left
-                    places, left, right = places[some], left[some], right[some]
-                    near: dict[int, list[int]] = {}
-                    for p, a, z in zip(places.tolist(), left.tolist(), right.tolist()):
-                        for k in set(its.owners[a:z].tolist()):
-                            near.setdefault(k, []).append(p)
-                    for k, hits in near.items():
-                        item_id, item = its.items[k]
-                        if shortest * len(hits) < coverage * len(item):
-                            continue  # even disjoint seeds can't reach the threshold
-                        tiles = tile(_tokens_near(tokens, np.array(hits), shortest), item, shortest)
-                        n = sum(t[2] for t in tiles)
-                        if n >= coverage * len(item) and n:
-                            rows.append((doc, item_id, n, len(item), n / len(item)))
+                rows = [(doc, *x) for doc, text in zip(b.column(0).to_pylist(), texts_of(b.column(1))) for x in leaks_of(items, text, coverage)]
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
         return run
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = []
-    for k in range(blocks):
-        block = [(r["item_id"], r["text"].encode()) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
-        out.append(texts.mapInArrow(scan(block), LEAKS))
-    return reduce(DataFrame.union, out)
+    return reduce(DataFrame.union, [texts.mapInArrow(scan(block), LEAKS) for block in _blocks(benchmark, block_bytes)])
+
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, shortest: int = MIN_MATCH, block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text leaks no item; nothing is shuffled."""
+    text_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def clean(block: list[tuple[int, bytes]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = _Items(block, shortest)
+            for b in batches:
+                yield b.filter(pa.array([not leaks_of(items, t, coverage) for t in texts_of(b.column(at))], pa.bool_()))
+
+        return run
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without those that leak an item; rows with a null doc_id are judged by their own text too."""
-    keyed = docs.withColumn("__k", F.xxhash64("doc_id", "text"))
-    bad = find_leaks(keyed.select(F.col("__k").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("__k")).distinct()
-    return keyed.join(bad, "__k", "left_anti").drop("__k")
+    return reduce(lambda df, block: df.mapInArrow(clean(block), docs.schema), _blocks(benchmark, block_bytes), docs)

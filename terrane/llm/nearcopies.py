@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
 from .common import materialize, release_shuffles, text_batches, texts_of
@@ -192,3 +193,15 @@ def _cross_pairs(buckets: DataFrame, components: DataFrame, classes: DataFrame,
     hashes = lambda x: classes.select(F.col("cid").alias(x), F.col("minhashes").alias(f"m_{x}"))
     same = F.size(F.filter(F.zip_with("m_a", "m_b", lambda x, y: x == y), lambda z: z))
     return pairs.join(hashes("a"), "a").join(hashes("b"), "b").where(same >= int(SCREEN * size)).select("a", "b")
+
+
+def drop_copies(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component stays, with all its columns: that of the smallest doc_id, once if it is repeated.
+
+    Different texts under one id are one document here: its rows stay if one of them is kept.
+    """
+    ids = cluster(docs, **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    one = Window.partitionBy("__key", "__text").orderBy("__text")
+    rows = docs.withColumns({"__key": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")})
+    rows = rows.join(ids, F.col("__key").eqNullSafe(F.col("__id")), "left_semi")
+    return rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[F.col(c) for c in docs.columns])
