@@ -1 +1 @@
-"""See the module docstrings."""
+"""Relational operators over ``nodes``, ``edges``, ``membership`` and mapped tables."""

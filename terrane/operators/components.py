@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import durable
+
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.union(e.select("v", "u")).toDF("u", "v")
@@ -26,9 +28,9 @@ def connected_components(edges: DataFrame, write=None, max_rounds: int = 50) ->
     """``node, component`` for every node that has an edge to another node; the component is its smallest node.
 
     edges: two integer columns, in either direction, repeats and self-loops allowed, nulls dropped.  ``write`` makes a
-    durable copy of a DataFrame (default: ``checkpoint()``).
+    durable copy of a DataFrame (default: a reliable checkpoint).
     """
-    write = write or (lambda df: df.checkpoint())
+    write = write or durable
     a, b = (F.col(c) for c in edges.columns[:2])
     e = write(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct())
     mark = None

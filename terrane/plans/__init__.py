@@ -1 +1 @@
-"""See the module docstrings."""
+"""Stages that chain operators: partition, train, unlearn, and reports over their records."""

@@ -1 +1 @@
-"""See the module docstrings."""
+"""Readers, writers and fixture graphs."""
