@@ -9,7 +9,8 @@ own.  Every word that a repeated window covers goes.
 3. Texts with a recurring phrase are gathered with its places.  Each task confirms the phrases word by word and compiles them,
    for its own shard of texts, into an automaton over words (pyahocorasick) which its texts are streamed through to locate
    every occurrence.  Shards follow the texts, so a text meets only the phrases that its shard has, once.
-4. The windows around the occurrences are compared by 128-bit hashes: the first start of each stays, later starts go.
+4. The windows that such a phrase stands for are compared by hashes: the first start of each stays, later ones go once a
+   second hash agrees.
 
 Hot phrases and windows are counted map-side and joined by ordinary joins, whose hot keys Spark splits at run time.
 """
@@ -24,10 +25,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import forget, materialize, release_shuffles, text_batches, texts_of
 
-WINDOW, PHRASE = 20, 6
+WINDOW, PHRASE = 20, 8
 WORDS_REMEMBERED = 500_000
 _ODD = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(256)]
 _ODD2 = [pow(0xD6E8FEB86659FD93, 2 * k + 1, 1 << 64) for k in range(256)]
@@ -129,23 +131,30 @@ def locate(texts: list[list[bytes]], places: list[list[int]], phrase: int) -> li
 
 
 def _windows(window: int, phrase: int):
-    """Hashes of the windows around the occurrences of recurring phrases."""
+    """Hashes of the windows whose own winnowed phrase is a located recurring one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            texts = [t.split() for t in texts_of(b.column(1))]
-            for cid, words, at in zip(b.column(0).to_pylist(), texts, locate(texts, b.column(2).to_pylist(), phrase)):
-                n = len(words) - window + 1
-                near = np.zeros(n + 1, np.int64)
-                np.add.at(near, np.clip(at - (window - phrase), 0, n), 1)
-                np.add.at(near, np.clip(at + 1, 0, n), -1)
-                starts = np.flatnonzero(np.cumsum(near)[:n] > 0)
-                if not len(starts):
-                    continue
-                h = hashes.of(words)
-                w = [_span_hashes(h, window, odd)[starts].view(np.int64) for odd in (_ODD, _ODD2)]
-                yield pa.record_batch([pa.array(w[0]), pa.array(w[1]), pa.array(np.full(len(starts), cid), pa.int64()), pa.array(starts, pa.int32())], ["w1", "w2", "cid", "start"])
+            texts = [t.split() for t in texts_of(b.column(2))]
+            sizes = np.array([len(t) for t in texts], np.int64)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            found = locate(texts, b.column(3).to_pylist(), phrase)
+            places = np.unique(np.concatenate([f + o for f, o in zip(found, offsets)])).astype(np.int64) if found else np.zeros(0, np.int64)
+            h = np.concatenate([hashes.of(t) for t in texts]) if texts else np.zeros(0, np.uint64)
+            if len(h) < window or not len(places):
+                continue
+            spans = _span_hashes(h, phrase, _ODD)
+            least = _slide(spans, window - phrase + 1, np.minimum)
+            n = len(h) - window + 1
+            starts = np.arange(n)
+            inside = starts + window <= np.repeat(offsets[1:], sizes)[:n]
+            starts = starts[inside & np.isin(least[:n], spans[places])]
+            owner = np.searchsorted(offsets, starts, "right") - 1
+            w1 = _span_hashes(h, window, _ODD)[starts].view(np.int64)
+            w2 = (_span_hashes(h, window, _ODD2)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            cid, base = (b.column(k).to_numpy(zero_copy_only=False)[owner] for k in (0, 1))
+            yield pa.record_batch([pa.array(w1), pa.array(w2), pa.array(base + starts - offsets[owner], pa.int64()), pa.array(cid, pa.int64())], ["w1", "w2", "at", "cid"])
 
     return run
 
@@ -153,8 +162,8 @@ def _windows(window: int, phrase: int):
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts that are those of their class, not other texts under the same id."""
     for b in batches:
-        keep = [hashlib.sha256(b" ".join(t.split())).digest() == d for t, d in zip(texts_of(b.column(1)), b.column(2).to_pylist())]
-        yield b.filter(pa.array(keep, pa.bool_())).select(["cid", "text", "places"])
+        keep = [hashlib.sha256(b" ".join(t.split())).digest() == d for t, d in zip(texts_of(b.column(2)), b.column(3).to_pylist())]
+        yield b.filter(pa.array(keep, pa.bool_())).select(["cid", "base", "text", "places"])
 
 
 def kept_words(words: list[bytes], starts: list[int], window: int) -> list[bytes]:
@@ -182,6 +191,19 @@ def _removed(window: int, with_text: bool):
     return run
 
 
+def _in_order(classes: DataFrame) -> DataFrame:
+    """Classes with ``cid`` and ``base``: where each one's words start if all classes stand one after another by first id."""
+    part = F.spark_partition_id().alias("__p")
+    rows = materialize(classes.repartitionByRange("first", "digest").sortWithinPartitions("first", "digest").select("*", part), "ordered")
+    sums = rows.groupBy("__p").agg(F.sum("n").alias("__s"), F.count(F.lit(1)).alias("__c"))
+    up = Window.orderBy("__p")  # a row for each partition
+    sums = sums.select("__p", (F.sum("__s").over(up) - F.col("__s")).alias("__words"), (F.sum("__c").over(up) - F.col("__c")).alias("__rows"))
+    within = Window.partitionBy("__p").orderBy("first", "digest")
+    rows = rows.withColumn("__r", F.row_number().over(within) - 1).withColumn("__w", F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    out = rows.join(F.broadcast(sums), "__p").select("digest", "first", "n", (F.col("__rows") + F.col("__r")).cast("long").alias("cid"), (F.col("__words") + F.col("__w")).cast("long").alias("base"))
+    return materialize(out, "classes")
+
+
 def find_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, with_text: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` and the text's ``digest`` for each row; with ``with_text`` also ``kept_text``
     where words go (kept words joined by a space; null where nothing goes).
@@ -193,10 +215,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, wi
     text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     searched = materialize(rows.mapInArrow(_search(window, phrase), "doc_id long, n_words long, digest binary, hashes array<long>, places array<int>"), "searched")
-    classes = searched.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("__null"))
-    classes = classes.select("digest", F.when(~F.col("__null"), F.col("first")).alias("first"))
-    # Ids that grow with the documents' order.
-    classes = materialize(classes.orderBy("first", "digest").withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes = searched.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("__null"), F.max("n_words").alias("n"))
+    classes = _in_order(classes.select("digest", F.when(~F.col("__null"), F.col("first")).alias("first"), "n"))
 
     firsts = searched.where(F.size("hashes") > 0).join(classes, "digest").where(F.col("doc_id").eqNullSafe(F.col("first")))
     spans = firsts.select("cid", F.explode(F.arrays_zip(F.col("hashes").alias("h"), F.col("places").alias("p"))).alias("x")).select("cid", F.col("x.h").alias("h"), F.col("x.p").alias("p"))
@@ -205,18 +225,21 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, wi
     places = spans.join(recurring, "h").groupBy("cid").agg(F.collect_set("p").alias("places"))
     needed = materialize(places.join(classes, "cid"), "needed")
     forget(spans)
-    texts = rows.join(needed, rows["doc_id"].eqNullSafe(needed["first"])).select("cid", "text", "digest", "places")
-    texts = materialize(texts.mapInArrow(_gathered, "cid long, text string, places array<int>"), "texts")
-    release_shuffles(spark)
-
-    windows = materialize(texts.mapInArrow(_windows(window, phrase), "w1 long, w2 long, cid long, start int"), "windows")
-    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("cid", "start")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2", "e")
-    later = windows.join(earliest, ["w1", "w2"]).where(F.struct("cid", "start") > F.col("e")).groupBy("cid").agg(F.collect_set("start").alias("starts"))
-    removed = texts.select("cid", "text").join(later, "cid").mapInArrow(_removed(window, with_text), "cid long, gone long, kept_digest binary, kept_text string")
+    texts = rows.join(needed, rows["doc_id"].eqNullSafe(needed["first"])).select("cid", "base", "text", "digest", "places")
+    texts = materialize(texts.mapInArrow(_gathered, "cid long, base long, text string, places array<int>"), "texts")
+    forget(needed)
+
+    windows = materialize(texts.mapInArrow(_windows(window, phrase), "w1 long, w2 int, at long, cid long"), "windows")
+    earliest = windows.groupBy("w1").agg(F.min("at").alias("e"), F.min_by("w2", "at").alias("f2"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = materialize(windows.join(earliest, "w1").where("at > e and w2 = f2").select("cid", "at"), "later")
+    forget(windows)
+    starts = later.groupBy("cid").agg(F.collect_set("at").alias("ats"))
+    removed = texts.select("cid", "base", "text").join(starts, "cid").select("cid", "text", F.transform("ats", lambda x: (x - F.col("base")).cast("int")).alias("starts"))
+    removed = removed.mapInArrow(_removed(window, with_text), "cid long, gone long, kept_digest binary, kept_text string")
     removed = materialize(removed.dropDuplicates(["cid"]), "removed")
-    release_shuffles(spark)
+    forget(later)
 
-    known = classes.join(removed, "cid", "left").drop("cid")
+    known = classes.join(removed, "cid", "left").drop("cid", "base", "n")
     out = searched.select("doc_id", "n_words", "digest").join(known, "digest")
     copy = (F.col("n_words") >= window) & ~F.col("doc_id").eqNullSafe(F.col("first"))
     none = hashlib.sha256(b"").digest()
