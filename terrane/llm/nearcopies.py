@@ -5,10 +5,15 @@ of a sub-key of the one and a sub-key of the other is a table key.  So tables^2
 2 * tables * rows minhash evaluations.  Two sets of similarity s share a key unless one collection has no common sub-key:
 they are missed with probability at most 2 * (1 - s^rows)^tables, 4e-4 at s = 0.85 with the default 9 and 3.
 
-Documents with equal sets are one class.  In each bucket of equal keys every class is paired with the smallest class
-(linear in the bucket), the pairs are confirmed, and linked classes become components.  Classes of one bucket that are still
-in different components are then paired with each other, first screened by their minhashes, so no link between different sets
-that share a bucket is lost; pairs inside a component aren't made.
+Documents with equal sets are one class.  In each bucket of equal keys a leader, the class with the most bucket mates, is
+compared with every other class on full sets (linear in the bucket), which links most of a group at once.
+
+Links between two other classes of a bucket are found without making its pairs.  Let b be the leader, D(x) the shingles in
+which x differs from b (taken from it or added to it).  With s = |D(x) & D(y)|, the sets x and y have an intersection of
+|b| - removed + s and a union of |b| + added - s, so they are linked if and only if s reaches a bound that is a sum of a term
+of x and a term of y.  If x is not linked with b the bound is positive: x and y must share differences.  Ordering each D by how
+rare its elements are among b's classes, they must share one of the first |D| - bound + 1 (prefix filter); joining those gives
+the candidates, which are then decided by s itself.  Both ends linked with b are in one component already.
 """
 
 from __future__ import annotations
@@ -26,9 +31,6 @@ from ..operators.components import connected_components
 from .common import materialize, release_shuffles, text_batches, texts_of
 
 TABLES, ROWS = 9, 3
-#: Least share of equal minhashes for which a pair of the second round is confirmed on full sets.  54 minhashes of a pair of
-#: similarity 0.8 agree on fewer than half with a probability of 1e-7.
-SCREEN = 0.5
 WORDS_REMEMBERED = 500_000
 
 
@@ -103,21 +105,22 @@ def _sketches(width: int, size: int):
     return run
 
 
-def _confirm(width: int, percent: int):
-    """Keep the pairs whose full sets have 100 * intersection >= percent * union."""
+def _compare(width: int):
+    """Full sets of leader and member: the leader's size, and the member's differences, removed (odd) and added (even)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, last, held = Shingler(width), None, None
         for b in batches:
-            a, c, ta, tc = b.columns
-            keep = []
-            for x, text, other in zip(a.to_pylist(), texts_of(ta), texts_of(tc)):
+            sizes, removed, diffs = [], [], []
+            for x, text, other in zip(b.column(0).to_pylist(), texts_of(b.column(2)), texts_of(b.column(3))):
                 if x != last:
                     last, held = x, shingler.hashes(text)
                 h = shingler.hashes(other)
-                both = len(np.intersect1d(held, h, assume_unique=True))
-                keep.append(100 * both >= percent * (len(held) + len(h) - both))
-            yield pa.record_batch([a, c], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                gone, new = np.setdiff1d(held, h, assume_unique=True), np.setdiff1d(h, held, assume_unique=True)
+                sizes.append(len(held))
+                removed.append(len(gone))
+                diffs.append(np.concatenate([gone | np.uint64(1), new & ~np.uint64(1)]).view(np.int64))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(diffs, pa.list_(pa.int64()))], ["a", "x", "size", "removed", "diff"])
 
     return run
 
@@ -141,18 +144,19 @@ def cluster(docs: DataFrame, shingle_words: int = 5, percent: int = 80, tables:
     part = lambda c, k: F.xxhash64(F.lit(c), F.lit(k), *[F.element_at("minhashes", 1 + (c * tables + k) * rows + r) for r in range(rows)])
     halves = classes.select("cid", *[F.array(*[part(c, k) for k in range(tables)]).alias(x) for c, x in ((0, "left"), (1, "right"))])
     keys = halves.select("cid", F.explode("left").alias("l"), "right").select("cid", "l", F.explode("right").alias("r")).select("cid", F.xxhash64("l", "r").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min("cid").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader")
-    buckets = materialize(keys.join(leaders, "key"), "buckets")  # only keys that two classes share
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = materialize(keys.join(shared, "key"), "buckets")  # only keys that two classes share
     release_shuffles(spark)
-
-    texts = _class_texts(rows_, classes, buckets, shingle_words)
-    stars = buckets.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
-    links = _confirmed(stars, texts, shingle_words, percent, "links")
-    components = connected_components(links, lambda df: materialize(df, "components"))
-    apart = _cross_pairs(buckets, components, classes, stars, size)
-    more = _confirmed(apart, texts, shingle_words, percent, "more-links")
+    mates = buckets.groupBy("cid").agg(F.sum(F.col("n") - 1).alias("mates"))
+    leaders = buckets.join(mates, "cid").groupBy("key").agg(F.max_by("cid", F.struct("mates", -F.col("cid"))).alias("a"))
+    stars = buckets.join(leaders, "key").where("cid <> a").select("a", F.col("cid").alias("x")).distinct()
+    compared = _compared(stars, _class_texts(rows_, classes, buckets, shingle_words), shingle_words, percent)
+    links = compared.where("linked").select("a", "x")
+    durable = lambda df: materialize(df, "components")
+    components = connected_components(links, durable)
+    more = materialize(_links_beside_leaders(compared, components, percent), "more-links")
     if not more.isEmpty():
-        components = connected_components(links.union(more), lambda df: materialize(df, "components"))
+        components = connected_components(links.union(more), durable)
 
     labelled = classes.select("cid", "h1", "h2", "first").join(components.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -177,22 +181,44 @@ def _class_texts(docs: DataFrame, classes: DataFrame, buckets: DataFrame, width:
     return materialize(found.join(needed.drop("first"), ["h1", "h2"]).select("cid", "text").dropDuplicates(["cid"]), "texts")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    with_b = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")  # last, so that rows of one a follow each other
-    return materialize(with_both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a long, b long"), name)
-
-
-def _cross_pairs(buckets: DataFrame, components: DataFrame, classes: DataFrame, stars: DataFrame, size: int) -> DataFrame:
-    """Pairs of classes that share a bucket, are in different components, weren't confirmed yet, and pass the screen."""
-    in_component = buckets.join(components.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")).select("key", "cid", "component")
-    mixed = in_component.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rows = materialize(in_component.join(mixed, "key"), "mixed")
-    a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "component")]) for x in "ab")
-    pairs = a.join(b, "key").where("cid_a < cid_b and component_a <> component_b").select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    hashes = lambda x: classes.select(F.col("cid").alias(x), F.col("minhashes").alias(f"m_{x}"))
-    same = F.size(F.filter(F.zip_with("m_a", "m_b", lambda x, y: x == y), lambda z: z))
-    return pairs.join(hashes("a"), "a").join(hashes("b"), "b").where(same >= int(SCREEN * size)).select("a", "b")
+def _compared(stars: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``a, x, size, removed, added, diff, linked`` for each leader a and member x."""
+    with_x = stars.join(texts.select(F.col("cid").alias("x"), F.col("text").alias("text_x")), "x")
+    both = with_x.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")  # last, so that rows of one a follow each other
+    rows = both.select("a", "x", "text_a", "text_x").mapInArrow(_compare(width), "a long, x long, size long, removed long, diff array<long>")
+    rows = rows.withColumn("added", F.size("diff") - F.col("removed"))
+    return materialize(rows.withColumn("linked", 100 * (F.col("size") - F.col("removed")) >= percent * (F.col("size") + F.col("added"))), "compared")
+
+
+def _links_beside_leaders(compared: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """Links between two members of one leader, at least one of which isn't linked with it; only across components."""
+    label = components.select(F.col("node").alias("x"), "component")
+    own = compared.join(label, "x", "left").withColumn("component", F.coalesce("component", "x"))
+    open_ = own.where("not linked").select("a").distinct()
+    own = own.join(open_, "a", "left_semi")
+    # The bound on s, times 100 + percent, is term(x) - (100 - percent) * size + term(y).
+    own = own.withColumn("term", percent * F.col("added") + 100 * F.col("removed"))
+    whole, scale = F.col("added") + F.col("removed"), 100 + percent
+    slack = (100 - percent) * F.col("size")
+    # For y the part of x is above 0; for an open x the part of y is at least 0.
+    as_y = whole - F.floor(F.col("term") / scale)
+    as_x = F.when(~F.col("linked"), whole + 1 - F.greatest(F.lit(1), F.ceil((F.col("term") - slack) / scale))).otherwise(0)
+    own = own.withColumn("as_y", as_y).withColumn("as_x", as_x)
+    parts = own.select("a", "x", "component", "as_x", "as_y", F.explode("diff").alias("e"))
+    rarity = parts.groupBy("a", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # An element of one class alone joins nothing, but takes its place in the order: first.
+    ordered = parts.join(rarity, ["a", "e"]).withColumn("r", F.row_number().over(Window.partitionBy("a", "x").orderBy("df", "e")))
+    alone = own.select("a", "x", whole.alias("all"))
+    common = ordered.groupBy("a", "x").agg(F.count(F.lit(1)).alias("k"))
+    ordered = ordered.join(alone.join(common, ["a", "x"]).select("a", "x", (F.col("all") - F.col("k")).alias("skip")), ["a", "x"]).withColumn("r", F.col("r") + F.col("skip"))
+    x = ordered.where("r <= as_x").select("a", "e", "x", "component")
+    y = ordered.where("r <= as_y").select("a", "e", F.col("x").alias("y"), F.col("component").alias("of_y"))
+    pairs = x.join(y, ["a", "e"]).where("x <> y and component <> of_y").select("a", "x", "y").distinct()
+    side = lambda n: compared.select("a", F.col("x").alias(n), "size", *[F.col(c).alias(f"{c}_{n}") for c in ("removed", "added", "diff")])
+    both = pairs.join(side("x"), ["a", "x"]).join(side("y").drop("size"), ["a", "y"])
+    s = F.size(F.array_intersect("diff_x", "diff_y"))
+    inter, union = F.col("size") - F.col("removed_x") - F.col("removed_y") + s, F.col("size") + F.col("added_x") + F.col("added_y") - s
+    return both.where(100 * inter >= percent * union).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("x")).distinct()
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
