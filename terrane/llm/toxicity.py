@@ -4,8 +4,8 @@ A sentence's probability is a logistic model over the lexicon words in it; a doc
 ``1 - prod(1 - p)``, and the weights are trained through it from document labels.  The same sentence scores then show where
 a document offends.
 
-The lexicon is picked from document frequencies by label over all labelled training rows (counted map-side first).  The
-weights are fitted on at most about ``max_fit_docs`` rows, of which only lexicon words are kept.
+The model is fitted on at most ``max_fit_docs`` labelled documents of the training fold: the lexicon is picked from their document
+frequencies by label (counted map-side first), and the weights from bags of lexicon words.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_batches, texts_of
+from .common import fold, materialize, text_batches, texts_of
 from .decontamination import plain_words
 
 THRESHOLD = 0.3
@@ -56,11 +56,16 @@ class Model:
         return -math.expm1(none)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, toxic`` of training rows; a document with several labels is toxic if one of them says so."""
+def _labelled(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
+    """``text, toxic`` of at most ``max_docs`` labelled ids of the training fold, picked by a hash of the id.
+
+    A document with several labels is toxic if one of them says so.  The picked ids are few whatever the corpus, so they are sent
+    to all tasks and no text is shuffled.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(fold("doc_id", FOLDS) != HELD_OUT)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
+    picked = known.where(fold("doc_id", FOLDS) != HELD_OUT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    picked = materialize(picked, "picked")
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"), "labelled")
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +124,10 @@ def fit_bags(rows: list[tuple[int, int, list[list[int]]]], size: int, steps: int
     return float(theta[size]), theta[:size]
 
 
-def train(docs: DataFrame, labels: DataFrame, lexicon_size: int = 512, significance: float = 16.0, max_fit_docs: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, lexicon_size: int = 1024, significance: float = 11.0, max_fit_docs: int = 20_000) -> Model:
     """Model from the training rows; without toxic or without clean rows, one that scores every text about 0 or 1."""
     text_batches(docs.sparkSession)
-    rows = _labelled(docs, labels).select("doc_id", "text", "toxic")
+    rows = _labelled(docs, labels, max_fit_docs)
     n = {r["toxic"] > 0: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Model(-30.0 if True not in n else 30.0, {})
@@ -133,9 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, lexicon_size: int = 512, significa
     g2 = 2 * (F.col("p") * F.log(F.col("p") / (both * base)) + F.when(F.col("q") > 0, F.col("q") * F.log(F.col("q") / (both * (1 - base)))).otherwise(0.0))
     picked = df.where(F.col("p") > 2 * base * both).withColumn("s", g2).where(F.col("s") >= significance).orderBy(F.desc("s"), "word").limit(lexicon_size).select("word").collect()
     lexicon = {bytes(r["word"]): i for i, r in enumerate(picked)}
-    share = min(1.0, max_fit_docs / (n[True] + n[False]))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    bags = sample.select("text", "toxic").mapInArrow(_bags(lexicon), "toxic int, others long, bag array<array<int>>").collect()
+    bags = rows.select("text", "toxic").mapInArrow(_bags(lexicon), "toxic int, others long, bag array<array<int>>").collect()
     bias, weights = fit_bags([(r["toxic"], r["others"], r["bag"]) for r in bags], len(lexicon))
     return Model(bias, {w: float(weights[i]) for w, i in lexicon.items() if abs(weights[i]) > 1e-3})
 
