@@ -143,7 +143,7 @@ def _(g: Graph):
 @query("coo_features", None, """
 with k as (select event_type, row_number() over (order by event_type) - 1 f from (select distinct event_type from events)),
 t as (select user_id node, f, sum(value) v from events join k using (event_type) group by 1, 2)
-select node, list_transform(range(0, 5), lambda i: round(coalesce(list_extract(list(v) filter (f = i), 1), 0), 6)) feat from t group by node""")
+select node, [round(coalesce(sum(v) filter (f = 0), 0), 6), round(coalesce(sum(v) filter (f = 1), 0), 6), round(coalesce(sum(v) filter (f = 2), 0), 6), round(coalesce(sum(v) filter (f = 3), 0), 6), round(coalesce(sum(v) filter (f = 4), 0), 6)] feat from t group by node""")
 def _(spark: SparkSession, sf_dir: str):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     kinds = e.select("event_type").distinct()
@@ -164,7 +164,7 @@ def _exploded(df: DataFrame) -> DataFrame:
 
 for _n in (1, 2):
 
-    @query(f"propagate_{_n}", "sim", propagation_sql(_n).rstrip(",\n") + f" select node, pos, round(x, 6) x from p{_n}")
+    @query(f"propagate_{_n}", "sim", propagation_sql(_n).rstrip(",\n") + f" select node, pos, round(x, 6) + 0.0 x from p{_n}")
     def _(g: Graph, steps: int = _n):
         return _exploded(graph.propagate(g.nodes, graph.adjacency(g.edges), steps))
 
@@ -698,8 +698,8 @@ def _(g: Graph):
     return layers.sage_layer(g.nodes, g.edges, ROOT, WEIGHTS)
 
 
-@query("gat_layer", "sim", FEATS + project_sql("hp", "fx", W_SQL) + """at as (select node, sum(h * (j + 1) / 10.0::double) l, sum(h * (2 - j) / 10.0::double) r from hp group by node),
-ez as (select src, dst, case when a.l + b.r > 0 then a.l + b.r else 0.2::double * (a.l + b.r) end z from edges join at a on a.node = src join at b on b.node = dst),
+@query("gat_layer", "sim", FEATS + project_sql("hp", "fx", W_SQL) + """sco as (select node, sum(h * (j + 1) / 10.0::double) l, sum(h * (2 - j) / 10.0::double) r from hp group by node),
+ez as (select src, dst, case when a.l + b.r > 0 then a.l + b.r else 0.2::double * (a.l + b.r) end z from edges join sco a on a.node = src join sco b on b.node = dst),
 ea as (select src, dst, exp(z - max(z) over (partition by dst)) a from ez), es as (select src, dst, a / sum(a) over (partition by dst) a from ea),
 ag as (select dst node, j, sum(a * h) s from es join hp on hp.node = src group by dst, j)""" + BY_POS.format("s", "left join ag using (node, j)"))
 def _(g: Graph):

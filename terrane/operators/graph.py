@@ -72,7 +72,8 @@ def neighbour_table(nodes: DataFrame, adj: DataFrame, width: int, seed: int) ->
     picked = adj.withColumn("r", F.row_number().over(order) - 1).where(F.col("r") < width)
     d = picked.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
     slots = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("slot")).join(d, F.col("node") == d["u"], "left").drop("u")
-    return slots.withColumn("r", F.col("slot") % F.col("d")).join(picked, (F.col("node") == picked["u"]) & (F.col("r").eqNullSafe(picked["r"])), "left").select("node", "slot", F.col("v").alias("neighbour"))
+    taken = picked.select(F.col("u").alias("node"), F.col("r").cast("int").alias("at"), F.col("v").alias("neighbour"))
+    return slots.withColumn("at", (F.col("slot") % F.col("d")).cast("int")).join(taken, ["node", "at"], "left").select("node", "slot", "neighbour")
 
 
 def neighbour_sample(adj: DataFrame, fanout: int, seed: int) -> DataFrame:
@@ -142,7 +143,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
         stuck = sent.where("k is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("stuck"))
         got = e.join(sent.where("k is not null"), F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("k")).alias("g"))
         ranks = nodes.select("node").join(got, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(stuck)).select("node", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("g", F.lit(0.0)) + F.col("stuck") / n)).alias("rank"))
-        if i % 5 == 4:
+        if i % 2 == 1:
             ranks = durable(ranks)
     return ranks
 

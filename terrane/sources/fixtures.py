@@ -83,7 +83,8 @@ m as (select distinct c, n from (select cast(c_nationkey as bigint) c, c_custkey
     "flow": """
 kinds as (select event_type, row_number() over (order by event_type) - 1 k from (select distinct event_type from events)),
 cnt as (select user_id, k, count(*) n from events join kinds using (event_type) group by user_id, k),
-nodes as (select user_id node, list_transform(range(0, 5), lambda i: cast(coalesce(list_extract(list(n) filter (k = i), 1), 0) as double)) feat, cast(arg_max(k, n * 100 - k) as int) label from cnt group by user_id),
+nodes as (select user_id node, [cast(coalesce(sum(n) filter (k = 0), 0) as double), cast(coalesce(sum(n) filter (k = 1), 0) as double), cast(coalesce(sum(n) filter (k = 2), 0) as double),
+  cast(coalesce(sum(n) filter (k = 3), 0) as double), cast(coalesce(sum(n) filter (k = 4), 0) as double)] feat, cast(arg_max(k, n * 100 - k) as int) label from cnt group by user_id),
 edges as (select src, dst from (select lag(user_id) over (order by ts, event_id) src, user_id dst from events) where src is not null),
 m as (select distinct c, n from (select user_id % 16 c, user_id n from events union all select 16 + user_id % 5, user_id from events where user_id % 3 = 0))""",
 }
