@@ -13,7 +13,7 @@ which x differs from b (taken from it or added to it).  With s = |D(x) & D(y)|,
 |b| - removed + s and a union of |b| + added - s, so they are linked if and only if s reaches a bound that is a sum of a term
 of x and a term of y.  If x is not linked with b the bound is positive: x and y must share differences.  Ordering each D by how
 rare its elements are among b's classes, they must share one of the first |D| - bound + 1 (prefix filter); joining those gives
-the candidates, which are then decided by s itself.  Both ends linked with b are in one component already.
+the candidates, less those whose rests after a common element are too short (positional filter); s itself then decides.  Both ends linked with b are in one component already.
 """
 
 from __future__ import annotations
@@ -203,17 +203,18 @@ def _links_beside_leaders(compared: DataFrame, components: DataFrame, percent: i
     # For y the part of x is above 0; for an open x the part of y is at least 0.
     as_y = whole - F.floor(F.col("term") / scale)
     as_x = F.when(~F.col("linked"), whole + 1 - F.greatest(F.lit(1), F.ceil((F.col("term") - slack) / scale))).otherwise(0)
-    own = own.withColumn("as_y", as_y).withColumn("as_x", as_x)
-    parts = own.select("a", "x", "component", "as_x", "as_y", F.explode("diff").alias("e"))
+    own = own.withColumns({"as_y": as_y, "as_x": as_x, "whole": whole, "over": F.col("term") - slack})
+    parts = own.select("a", "x", "component", "as_x", "as_y", "term", "over", "whole", F.explode("diff").alias("e"))
     rarity = parts.groupBy("a", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # An element of one class alone joins nothing, but takes its place in the order: first.
     ordered = parts.join(rarity, ["a", "e"]).withColumn("r", F.row_number().over(Window.partitionBy("a", "x").orderBy("df", "e")))
-    alone = own.select("a", "x", whole.alias("all"))
-    common = ordered.groupBy("a", "x").agg(F.count(F.lit(1)).alias("k"))
-    ordered = ordered.join(alone.join(common, ["a", "x"]).select("a", "x", (F.col("all") - F.col("k")).alias("skip")), ["a", "x"]).withColumn("r", F.col("r") + F.col("skip"))
-    x = ordered.where("r <= as_x").select("a", "e", "x", "component")
-    y = ordered.where("r <= as_y").select("a", "e", F.col("x").alias("y"), F.col("component").alias("of_y"))
-    pairs = x.join(y, ["a", "e"]).where("x <> y and component <> of_y").select("a", "x", "y").distinct()
+    common = F.count(F.lit(1)).over(Window.partitionBy("a", "x"))
+    ordered = ordered.withColumn("r", F.col("r") + F.col("whole") - common)
+    x = ordered.where("r <= as_x").select("a", "e", "x", "component", "over", (F.col("whole") - F.col("r")).alias("rest"))
+    y = ordered.where("r <= as_y").select("a", "e", F.col("x").alias("y"), F.col("component").alias("of_y"), "term", (F.col("whole") - F.col("r")).alias("rest_y"))
+    # From their first common element on, they can share no more than what is left of the shorter rest (positional filter).
+    enough = F.col("over") + F.col("term") <= scale * (1 + F.least("rest", "rest_y"))
+    pairs = x.join(y, ["a", "e"]).where((F.col("x") != F.col("y")) & (F.col("component") != F.col("of_y")) & enough).select("a", "x", "y").distinct()
     side = lambda n: compared.select("a", F.col("x").alias(n), "size", *[F.col(c).alias(f"{c}_{n}") for c in ("removed", "added", "diff")])
     both = pairs.join(side("x"), ["a", "x"]).join(side("y").drop("size"), ["a", "y"])
     s = F.size(F.array_intersect("diff_x", "diff_y"))
