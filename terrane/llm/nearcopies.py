@@ -144,7 +144,9 @@ def cluster(docs: DataFrame, shingle_words: int = 5, percent: int = 80, tables:
     part = lambda c, k: F.xxhash64(F.lit(c), F.lit(k), *[F.element_at("minhashes", 1 + (c * tables + k) * rows + r) for r in range(rows)])
     halves = classes.select("cid", *[F.array(*[part(c, k) for k in range(tables)]).alias(x) for c, x in ((0, "left"), (1, "right"))])
     keys = halves.select("cid", F.explode("left").alias("l"), "right").select("cid", "l", F.explode("right").alias("r")).select("cid", F.xxhash64("l", "r").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the join's two sides are plain exchanges, whose hot keys Spark can split; so are the tables below.
+    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    release_shuffles(spark)
     buckets = materialize(keys.join(shared, "key"), "buckets")  # only keys that two classes share
     release_shuffles(spark)
     mates = buckets.groupBy("cid").agg(F.sum(F.col("n") - 1).alias("mates"))
@@ -160,7 +162,7 @@ def cluster(docs: DataFrame, shingle_words: int = 5, percent: int = 80, tables:
 
     labelled = classes.select("cid", "h1", "h2", "first").join(components.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_class = labelled.join(least, "component").select("h1", "h2", "component_id")
+    by_class = materialize(labelled.join(least, "component").select("h1", "h2", "component_id"), "by-class")
     out = sketched.drop("minhashes").join(by_class, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
