@@ -221,18 +221,21 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, wi
     firsts = searched.where(F.size("hashes") > 0).join(classes, "digest").where(F.col("doc_id").eqNullSafe(F.col("first")))
     spans = firsts.select("cid", F.explode(F.arrays_zip(F.col("hashes").alias("h"), F.col("places").alias("p"))).alias("x")).select("cid", F.col("x.h").alias("h"), F.col("x.p").alias("p"))
     spans = materialize(spans, "spans")
-    recurring = spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # Written, so that the join's two sides are plain exchanges, whose hot keys Spark can split; so is ``earliest``.
+    recurring = materialize(spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "recurring")
+    release_shuffles(spark)
     places = spans.join(recurring, "h").groupBy("cid").agg(F.collect_set("p").alias("places"))
     needed = materialize(places.join(classes, "cid"), "needed")
-    forget(spans)
+    forget(spans, recurring)
     texts = rows.join(needed, rows["doc_id"].eqNullSafe(needed["first"])).select("cid", "base", "text", "digest", "places")
     texts = materialize(texts.mapInArrow(_gathered, "cid long, base long, text string, places array<int>"), "texts")
     forget(needed)
 
     windows = materialize(texts.mapInArrow(_windows(window, phrase), "w1 long, w2 int, at long, cid long"), "windows")
-    earliest = windows.groupBy("w1").agg(F.min("at").alias("e"), F.min_by("w2", "at").alias("f2"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    earliest = materialize(windows.groupBy("w1").agg(F.min("at").alias("e"), F.min_by("w2", "at").alias("f2"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "earliest")
+    release_shuffles(spark)
     later = materialize(windows.join(earliest, "w1").where("at > e and w2 = f2").select("cid", "at"), "later")
-    forget(windows)
+    forget(windows, earliest)
     starts = later.groupBy("cid").agg(F.collect_set("at").alias("ats"))
     removed = texts.select("cid", "base", "text").join(starts, "cid").select("cid", "text", F.transform("ats", lambda x: (x - F.col("base")).cast("int")).alias("starts"))
     removed = removed.mapInArrow(_removed(window, with_text), "cid long, gone long, kept_digest binary, kept_text string")
