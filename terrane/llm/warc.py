@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, hadoop_path, text_batches
+from .common import fresh_path, hadoop_path, materialize, text_batches
 
 MAGIC = b"\x1f\x8b\x08"
 #: An empty gzip member: header, an empty final deflate block, CRC 0, length 0.
@@ -41,6 +41,7 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("__d", F.unhex(F.sha1("payload")))
     firsts = rows.groupBy("__d").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    firsts = materialize(firsts, "firsts")  # both sides of the join are then plain exchanges, which Spark can split
     rows = rows.join(firsts, "__d", "left")
     return rows.select("page_id", "url", "payload", F.expr("case when not page_id <=> __first then __first end").alias("refers_to"))
 
