@@ -136,34 +136,32 @@ def best_fit_plan(counts: dict[int, int], max_tokens: int) -> list[tuple[int, in
     plan, opened = [], 0
     gaps: dict[int, deque[tuple[int, int]]] = {}  # gap: intervals of sequences (first, how many)
 
-    def put(length: int, rank: int, n: int, first: int, gap: int) -> None:
-        plan.append((length, rank, n, first, max_tokens - gap))
-        if gap > length:
-            gaps.setdefault(gap - length, deque()).append((first, n))
+    def fill(length: int, rank: int, left: int, first: int, n: int, gap: int) -> int:
+        """Put up to ``left`` pieces into n sequences with this gap, each filled before the next; returns how many went."""
+        each, went = gap // length, 0
+        for m, k in ((min(n, left // each), each), (1, left % each)):  # filled ones, then one with what remains
+            if m and k and n:
+                plan.extend((length, rank + went + j * m, m, first, max_tokens - gap + j * length) for j in range(k))
+                if gap > k * length:
+                    gaps.setdefault(gap - k * length, deque()).append((first, m))
+                first, n, went = first + m, n - m, went + m * k
+        if n:
+            gaps.setdefault(gap, deque()).appendleft((first, n))
+        return went
 
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
         while left:
             gap = min((g for g in gaps if g >= length), default=None)
             if gap is None:
-                break
-            first, n = gaps[gap][0]
-            took = min(n, left)
-            gaps[gap].popleft()
-            if n > took:
-                gaps[gap].appendleft((first + took, n - took))
-            elif not gaps[gap]:
-                del gaps[gap]
-            put(length, rank, took, first, gap)
-            rank, left = rank + took, left - took
-        each = max_tokens // length
-        for n, k in ((left // each, each), (1, left % each)):  # filled sequences, then one with what remains
-            if n and k:
-                for j in range(k):
-                    plan.append((length, rank + j * n, n, opened, j * length))
-                if max_tokens > k * length:
-                    gaps.setdefault(max_tokens - k * length, deque()).append((opened, n))
-                rank, opened = rank + k * n, opened + n
+                n = -(-left // (max_tokens // length))
+                went, opened = fill(length, rank, left, opened, n, max_tokens), opened + n
+            else:
+                first, n = gaps[gap].popleft()
+                if not gaps[gap]:
+                    del gaps[gap]
+                went = fill(length, rank, left, first, n, gap)
+            rank, left = rank + went, left - went
     return plan
 
 
