@@ -310,7 +310,7 @@ def toxic_corpus(spark):
             sentences[rng.randrange(5)] += " you " + rng.choice(["vile", "rotten"]) + " fool"
         rows.append((i, ". ".join(sentences), "en", "s", 0))
         labels.append((i, 1, int(toxic)))
-    rows += [(1000, None, None, None, 0), (1001, "", None, None, 0), (1002, "vile " * 30000, None, None, 0)]
+    rows += [(1000, None, None, None, 0), (1001, "", None, None, 0), (1002, "you vile fool " * 30000, None, None, 0)]
     return spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
