@@ -175,6 +175,30 @@ def test_exchange_raises_likelihood():
     assert all(len(set(got[:12][of == k])) == 1 for k in range(3)) and len(set(got[:12])) == 3
 
 
+def test_rare_words_get_classes(spark):
+    """Two kinds of words alternate; rare words of each kind meet only in classes of their own kind."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        a, b = rng.integers(0, 8, 30), rng.integers(0, 8, 30)
+        w = [x for p, q in zip(a, b) for x in (f"a{p}", f"b{q}")]
+        w[10], w[31] = f"ra{i % 50}", f"rb{i % 50}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, rare = lm.train(docs, vocabulary=16, classes=2)
+    got = {bytes(r["word"]).decode(): (r["n"], r["class"]) for r in rare.collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    n = collections.Counter(w for i, t in rows if not held(i) for w in t.split() if w[0] == "r")
+    assert {w: x[0] for w, x in got.items()} == n
+    a, b = ({c for w, (_, c) in got.items() if w.startswith(x)} for x in ("ra", "rb"))
+    assert len(a) == len(b) == 1 and a != b
+    # Class bigrams of rarer words are counted: ra is followed by a frequent b, never by a frequent a.
+    after = 10 ** model.transition[4 + a.pop()]
+    kind = {w.decode()[0]: model.classes[i] for w, i in model.index.items()}
+    assert after[kind["b"]] > 0.9 > 0.1 > after[kind["a"]]
+    assert lm.score(docs, model, rare).count() == 400
+
+
 # --- 5 -------------------------------------------------------------------------------------------
 
 
