@@ -95,6 +95,26 @@ def test_detectors_cover_and_are_dense(spark):
     assert q > 0.4
 
 
+def test_louvain_is_one_path_until_nothing_rises(spark, monkeypatch):
+    monkeypatch.setattr(detect, "louvain_in_task", None)  # no other path for small graphs
+    n, pairs, of = clique_ring(4, 5)
+    nodes, adj = nodes_df(spark, n), graph.adjacency(edges_df(spark, both(pairs)))
+    got = {u: c for c, u in rows(detect.louvain_blocks(nodes, adj, 1.0, 1))}
+    edges = {tuple(sorted(p)) for p in pairs}
+
+    def worth(c):
+        degree = {}
+        for u, v in edges:
+            degree[c[u]] = degree.get(c[u], 0) + 1
+            degree[c[v]] = degree.get(c[v], 0) + 1
+        return sum(c[u] == c[v] for u, v in edges) / len(edges) - sum((d / (2 * len(edges))) ** 2 for d in degree.values())
+
+    best = worth(got)
+    for x in set(got.values()):
+        for y in set(got.values()) - {x}:
+            assert worth({u: x if c == y else c for u, c in got.items()}) <= best + 1e-9
+
+
 def test_coarse_to_fine_bounds(spark):
     n, pairs, of = clique_ring(4, 12)
     nodes = nodes_df(spark, n + 2, feat=[[float(of[u] == c) for c in range(4)] if u < n else [0.0] * 4 for u in range(n + 2)])
