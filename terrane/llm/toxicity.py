@@ -57,14 +57,14 @@ class Model:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
-    """``text, toxic`` of at most ``max_docs`` labelled ids of the training fold, picked by a hash of the id.
+    """``text, toxic`` of at most ``max_docs`` labelled ids of the training fold that ``docs`` holds, picked by a hash of the id.
 
     A document with several labels is toxic if one of them says so.  The picked ids are few whatever the corpus, so they are sent
     to all tasks and no text is shuffled.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    picked = known.where(fold("doc_id", FOLDS) != HELD_OUT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    picked = materialize(picked, "picked")
+    known = known.where(fold("doc_id", FOLDS) != HELD_OUT).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    picked = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs), "picked")
     return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"), "labelled")
 
 

@@ -350,6 +350,12 @@ def test_toxicity(spark, empty):
     assert toxicity.score_toxicity(empty, toxicity.train(empty, labels.limit(0))).count() == 0
 
 
+def test_toxicity_bound_is_filled_from_the_documents(spark):
+    docs = spark.createDataFrame([(i, "text") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 25 == 0)) for i in range(4000)], "doc_id long, toxic int")
+    assert toxicity._labelled(docs, labels, 20).count() == 20
+
+
 def test_noisy_or_of_sentences():
     m = toxicity.Model(-2.0, {b"vile": 3.0})
     ps = [p for _, p in m.sentences(b"vile man. good man.")]
