@@ -3,7 +3,7 @@
 Two collections of ``tables`` sub-keys are computed for each distinct shingle set, each from ``rows`` minhashes; every pair
 of a sub-key of the one and a sub-key of the other is a table key.  So tables^2 keys of 2 * rows minhashes cost only
 2 * tables * rows minhash evaluations.  Two sets of similarity s share a key unless one collection has no common sub-key:
-they are missed with probability at most 2 * (1 - s^rows)^tables, 4e-4 at s = 0.85 with the default 9 and 3.
+they are missed with probability at most 2 * (1 - s^rows)^tables.  With 3 rows, the tables are as many as keep that under 4e-4 at the threshold: 9 at s = 0.85, 12 at 0.80.
 
 Documents with equal sets are one class.  In each bucket of equal keys a leader, the class with the most bucket mates, is
 compared with every other class on full sets (linear in the bucket), which links most of a group at once.
@@ -30,10 +30,20 @@ from pyspark.sql.window import Window
 from ..operators.components import connected_components
 from .common import materialize, release_shuffles, text_batches, texts_of
 
-TABLES, ROWS = 9, 3
+ROWS, MISSED = 3, 4e-4
 WORDS_REMEMBERED = 500_000
 
 
+def tables_for(percent: int, rows: int = ROWS, missed: float = MISSED) -> int:
+    """Least tables with which a pair at the threshold shares no key with probability ``missed`` at most."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be over 0 and up to 100")
+    tables, none = 1, 1 - (percent / 100) ** rows
+    while 2 * none**tables > missed:
+        tables += 1
+    return tables
+
+
 class Shingler:
     """64-bit hashes of the distinct shingles of a text; word hashes are remembered."""
 
@@ -125,7 +135,7 @@ def _compare(width: int):
     return run
 
 
-def cluster(docs: DataFrame, shingle_words: int = 5, percent: int = 80, tables: int = TABLES, rows: int = ROWS) -> DataFrame:
+def cluster(docs: DataFrame, shingle_words: int = 5, percent: int = 80, tables: int | None = None, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs``.
 
     Words are lower-cased in ASCII and cut at ASCII white space; a text with fewer words than a shingle is one shingle, one
@@ -135,6 +145,7 @@ def cluster(docs: DataFrame, shingle_words: int = 5, percent: int = 80, tables:
     """
     spark = docs.sparkSession
     text_batches(spark)
+    tables = tables or tables_for(percent, rows)
     size = 2 * tables * rows
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = materialize(rows_.mapInArrow(_sketches(shingle_words, size), "doc_id long, n_shingles long, h1 long, h2 long, minhashes array<int>"), "sketches")

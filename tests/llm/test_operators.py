@@ -433,6 +433,11 @@ def families(seed):
     return rows
 
 
+def test_tables_follow_the_threshold():
+    assert [nearcopies.tables_for(p) for p in (85, 80)] == [9, 12]
+    assert all(2 * (1 - (p / 100) ** 3) ** nearcopies.tables_for(p) <= 4e-4 for p in (60, 80, 85, 95, 100))
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_near_copies(spark, docs, empty, width, percent):
     df = docs.union(spark.createDataFrame([(1000 + i, *r) for i, *r in families(width)], DOCS))
