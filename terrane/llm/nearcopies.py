@@ -11,9 +11,11 @@ compared with every other class on full sets (linear in the bucket), which links
 Links between two other classes of a bucket are found without making its pairs.  Let b be the leader, D(x) the shingles in
 which x differs from b (taken from it or added to it).  With s = |D(x) & D(y)|, the sets x and y have an intersection of
 |b| - removed + s and a union of |b| + added - s, so they are linked if and only if s reaches a bound that is a sum of a term
-of x and a term of y.  If x is not linked with b the bound is positive: x and y must share differences.  Ordering each D by how
-rare its elements are among b's classes, they must share one of the first |D| - bound + 1 (prefix filter); joining those gives
-the candidates, less those whose rests after a common element are too short (positional filter); s itself then decides.  Both ends linked with b are in one component already.
+of x and a term of y.  If x is not linked with b the bound is positive: x and y must share differences.  Only links between
+two components matter by then, so differences found in one component alone are left out: a variant of any size that its own
+leaders have made one component drops out as a whole.  Ordering each D by how rare its elements are among b's classes, x and y
+must share one of the first |D| - bound + 1 (prefix filter); joining those gives the candidates, less those whose rests after
+a common element are too short (positional filter); s itself then decides.  Both ends linked with b are in one component already.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
-from .common import materialize, release_shuffles, text_batches, texts_of
+from .common import forget, materialize, release_shuffles, text_batches, texts_of
 
 ROWS, MISSED = 3, 4e-4
 WORDS_REMEMBERED = 500_000
+SALTS = 16  # parts of a leader's classes
+PRUNINGS = 2  # each takes away elements and classes that can't be linked; more only save rows
 
 
 def tables_for(percent: int, rows: int = ROWS, missed: float = MISSED) -> int:
@@ -160,16 +164,20 @@ def cluster(docs: DataFrame, shingle_words: int = 5, percent: int = 80, tables:
     release_shuffles(spark)
     buckets = materialize(keys.join(shared, "key"), "buckets")  # only keys that two classes share
     release_shuffles(spark)
+    forget(shared)
     mates = buckets.groupBy("cid").agg(F.sum(F.col("n") - 1).alias("mates"))
     leaders = buckets.join(mates, "cid").groupBy("key").agg(F.max_by("cid", F.struct("mates", -F.col("cid"))).alias("a"))
     stars = buckets.join(leaders, "key").where("cid <> a").select("a", F.col("cid").alias("x")).distinct()
-    compared = _compared(stars, _class_texts(rows_, classes, buckets, shingle_words), shingle_words, percent)
+    texts = _class_texts(rows_, classes, buckets, shingle_words)
+    compared = _compared(stars, texts, shingle_words, percent)
+    forget(buckets, texts)
     links = compared.where("linked").select("a", "x")
     durable = lambda df: materialize(df, "components")
     components = connected_components(links, durable)
     more = materialize(_links_beside_leaders(compared, components, percent), "more-links")
     if not more.isEmpty():
         components = connected_components(links.union(more), durable)
+    forget(compared, more)
 
     labelled = classes.select("cid", "h1", "h2", "first").join(components.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -203,31 +211,60 @@ def _compared(stars: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return materialize(rows.withColumn("linked", 100 * (F.col("size") - F.col("removed")) >= percent * (F.col("size") + F.col("added"))), "compared")
 
 
-def _links_beside_leaders(compared: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Links between two members of one leader, at least one of which isn't linked with it; only across components."""
+def _across(parts: DataFrame) -> DataFrame:
+    """Rows of differences (a leader, an element, a class) that can lead from one component to another.
+
+    An element whose classes, beside its leader, are all of one component leads nowhere; a class left with fewer elements than
+    its least bounds is linked with none.  ``df`` counts the element's classes, ``most`` is the component most of them have.
+    """
+    counts = parts.groupBy("a", "e", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("a", "e").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("of"), F.max_by("component", F.struct("n", "component")).alias("most")).where("of > 1")
+    # Written, so that the join's two sides are plain exchanges, whose hot keys Spark can split.
+    rows = parts.drop("df", "most", "left").join(materialize(mixed.drop("of"), "mixed"), ["a", "e"]).withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("a", "x")))
+    return materialize(rows.where((~F.col("linked") & (F.col("left") >= F.col("least_open"))) | (F.col("left") >= F.col("least_any"))), "across")
+
+
+def _shared_differences(compared: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """``a, e, x, component, most, over, term, rest, as_open, as_any``: differences that classes of two components share.
+
+    ``as_open`` and ``as_any`` tell whether the element is in the prefix in which the class must meet another, as the end that
+    isn't linked with the leader and as any end.  A leader all of whose classes are linked with it has no rows.
+    """
     label = components.select(F.col("node").alias("x"), "component")
     own = compared.join(label, "x", "left").withColumn("component", F.coalesce("component", "x"))
-    open_ = own.where("not linked").select("a").distinct()
-    own = own.join(open_, "a", "left_semi")
-    # The bound on s, times 100 + percent, is term(x) - (100 - percent) * size + term(y).
-    own = own.withColumn("term", percent * F.col("added") + 100 * F.col("removed"))
-    whole, scale = F.col("added") + F.col("removed"), 100 + percent
-    slack = (100 - percent) * F.col("size")
-    # For y the part of x is above 0; for an open x the part of y is at least 0.
-    as_y = whole - F.floor(F.col("term") / scale)
-    as_x = F.when(~F.col("linked"), whole + 1 - F.greatest(F.lit(1), F.ceil((F.col("term") - slack) / scale))).otherwise(0)
-    own = own.withColumns({"as_y": as_y, "as_x": as_x, "whole": whole, "over": F.col("term") - slack})
-    parts = own.select("a", "x", "component", "as_x", "as_y", "term", "over", "whole", F.explode("diff").alias("e"))
-    rarity = parts.groupBy("a", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # An element of one class alone joins nothing, but takes its place in the order: first.
-    ordered = parts.join(rarity, ["a", "e"]).withColumn("r", F.row_number().over(Window.partitionBy("a", "x").orderBy("df", "e")))
-    common = F.count(F.lit(1)).over(Window.partitionBy("a", "x"))
-    ordered = ordered.withColumn("r", F.col("r") + F.col("whole") - common)
-    x = ordered.where("r <= as_x").select("a", "e", "x", "component", "over", (F.col("whole") - F.col("r")).alias("rest"))
-    y = ordered.where("r <= as_y").select("a", "e", F.col("x").alias("y"), F.col("component").alias("of_y"), "term", (F.col("whole") - F.col("r")).alias("rest_y"))
+    # With term(x) = percent * added + 100 * removed and over(x) = term(x) - slack, the bound on s is
+    # (over(x) + term(y)) / (100 + percent).  Neither end differs in fewer than s elements, so its term is at least percent * s.
+    own = own.withColumn("term", percent * F.col("added") + 100 * F.col("removed")).withColumn("over", F.col("term") - (100 - percent) * F.col("size"))
+    own = materialize(own.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")), "own")
+    open_ = own.where("not linked").groupBy("a").agg(F.min("over").alias("least_over"))  # above 0
+    open_ = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = own.join(materialize(open_, "open"), ["a", "salt"])
+    own = own.withColumn("least_open", F.greatest(F.lit(1), F.ceil(F.col("over") / 100)))
+    own = own.withColumn("least_any", F.greatest(F.ceil((F.col("least_over") + F.col("term")) / (100 + percent)), F.col("least_open")))
+    own = own.where((~F.col("linked") & (F.size("diff") >= F.col("least_open"))) | (F.size("diff") >= F.col("least_any")))
+    parts = own.select("a", "x", "component", "linked", "term", "over", "least_open", "least_any", F.explode("diff").alias("e"))
+    for _ in range(PRUNINGS):
+        parts = _across(parts)
+    rest = F.col("left") - F.row_number().over(Window.partitionBy("a", "x").orderBy("df", "e"))
+    parts = parts.withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("a", "x"))).withColumn("rest", rest)
+    ranked = parts.withColumn("as_open", ~F.col("linked") & (F.col("rest") + 1 >= F.col("least_open"))).withColumn("as_any", F.col("rest") + 1 >= F.col("least_any"))
+    return ranked.where("as_open or as_any").select("a", "e", "x", "component", "most", "over", "term", "rest", "as_open", "as_any")
+
+
+def _meetings(shared: DataFrame) -> DataFrame:
+    """Rows of :func:`_shared_differences` that meet in an element: an open x and any y, one of them not of the element's most
+    frequent component.  So classes of that component, however many they are, don't meet one another."""
+    x = shared.where("as_open").select("a", "e", "x", "component", "over", "rest", (F.col("component") == F.col("most")).alias("usual"))
+    y = shared.where("as_any").select("a", "e", F.col("x").alias("y"), F.col("component").alias("of_y"), "term", F.col("rest").alias("rest_y"), (F.col("component") == F.col("most")).alias("usual_y"))
+    return x.where("not usual").join(y, ["a", "e"]).union(x.where("usual").join(y.where("not usual_y"), ["a", "e"]))
+
+
+def _links_beside_leaders(compared: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """Links between two members of one leader, at least one of which isn't linked with it; only across components."""
+    shared = materialize(_shared_differences(compared, components, percent), "shared-differences")
     # From their first common element on, they can share no more than what is left of the shorter rest (positional filter).
-    enough = F.col("over") + F.col("term") <= scale * (1 + F.least("rest", "rest_y"))
-    pairs = x.join(y, ["a", "e"]).where((F.col("x") != F.col("y")) & (F.col("component") != F.col("of_y")) & enough).select("a", "x", "y").distinct()
+    enough = F.col("over") + F.col("term") <= (100 + percent) * (1 + F.least("rest", "rest_y"))
+    pairs = _meetings(shared).where((F.col("x") != F.col("y")) & (F.col("component") != F.col("of_y")) & enough).select("a", "x", "y").distinct()
     side = lambda n: compared.select("a", F.col("x").alias(n), "size", *[F.col(c).alias(f"{c}_{n}") for c in ("removed", "added", "diff")])
     both = pairs.join(side("x"), ["a", "x"]).join(side("y").drop("size"), ["a", "y"])
     s = F.size(F.array_intersect("diff_x", "diff_y"))

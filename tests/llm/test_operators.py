@@ -447,3 +447,37 @@ def test_near_copies(spark, docs, empty, width, percent):
     kept = nearcopies.drop_copies(df.union(df), shingle_words=width, percent=percent)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, w in want.items() if w[2])
     assert nearcopies.cluster(empty, width, percent).count() == 0
+
+def two_variants(n, seed=1):
+    """Documents around one base: half near it, half near a variant that is apart from it; each changes a few words of its own."""
+    rng = random.Random(seed)
+    base = ["w%d" % k for k in range(200)]
+    variant = list(base)
+    for k in range(0, 200, 25):
+        variant[k] = "v%d" % k
+    rows = []
+    for i in range(n):
+        t = list((base, variant)[i % 2])
+        for _ in range(rng.randint(0, 2)):
+            t[rng.randrange(200)] = "r%d" % rng.randrange(10 * n)
+        rows.append((i, " ".join(t), None, None, 0))
+    return rows
+
+
+def test_variants_around_one_leader_meet_linearly(spark, monkeypatch):
+    made = {}
+    meet = nearcopies._meetings
+    for n in (300, 1200):
+        monkeypatch.setattr(nearcopies, "_meetings", lambda shared, n=n: made.update({n: meet(shared).count()}) or meet(shared))
+        got = nearcopies.cluster(spark.createDataFrame(two_variants(n), DOCS), 3, 85).select("component_id").distinct().collect()
+        assert sorted(r["component_id"] for r in got) == [0, 1]
+    assert made[1200] <= 6 * max(made[300], n)
+
+
+def test_near_copies_of_one_id_and_of_none(spark):
+    text = " ".join("w%d" % k for k in range(60))
+    rows = [(5, text), (5, "quite another text here"), (None, text + " end"), (None, "alone in the world"), (9, text)]
+    got = sorted(nearcopies.cluster(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect(), key=str)
+    of = lambda n: sorted(str((r["doc_id"], r["component_id"], r["kept"])) for r in got if r["n_shingles"] == n)
+    assert of(58) == ["(5, 5, True)", "(9, 5, False)"] and of(59) == ["(None, 5, False)"]
+    assert of(2) == ["(5, 5, True)", "(None, None, True)"]
