@@ -6,11 +6,13 @@ own.  Every word that a repeated window covers goes.
 1. Documents of equal word sequences are one class; only the first of each is searched, the others are repeats as a whole.
 2. Each window contributes the phrase of ``phrase`` words with the smallest hash in it (winnowing): equal windows contribute
    equal phrases, so a repeated window holds a phrase that occurs at least twice.  Phrases are counted by hash.
-3. Texts with a recurring phrase are gathered with its places.  Each task confirms the phrases word by word and compiles them,
-   for its own shard of texts, into an automaton over words (pyahocorasick) which its texts are streamed through to locate
-   every occurrence.  Shards follow the texts, so a text meets only the phrases that its shard has, once.
-4. The windows that such a phrase stands for are compared by hashes: the first start of each stays, later ones go once a
-   second hash agrees.
+3. Phrases whose hash recurs are confirmed by counting their words themselves.
+4. Documents are dealt to shards of about ``SHARD_WORDS`` words by their id, and each shard gets the confirmed phrases that its
+   own documents contribute, as no other can make a window of theirs.  A task compiles a shard's phrases into an automaton over
+   words (pyahocorasick) and streams all the shard's documents through it.  So shards of phrases are of bounded size, and every
+   document meets one automaton, however many phrases the corpus has.
+5. A window is searched on if the automaton found its smallest phrase at its place.  Such windows are compared by a 64-bit and
+   a second 32-bit hash, not word by word: the first start of each stays, later ones go.
 
 Hot phrases and windows are counted map-side and joined by ordinary joins, whose hot keys Spark splits at run time.
 """
@@ -30,6 +32,7 @@ from pyspark.sql.window import Window
 from .common import forget, materialize, release_shuffles, text_batches, texts_of
 
 WINDOW, PHRASE = 20, 8
+SHARD_WORDS = 250_000
 WORDS_REMEMBERED = 500_000
 _ODD = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(256)]
 _ODD2 = [pow(0xD6E8FEB86659FD93, 2 * k + 1, 1 << 64) for k in range(256)]
@@ -92,80 +95,118 @@ def phrase_places(h: np.ndarray, ends: np.ndarray, window: int, phrase: int) ->
 
 
 def _search(window: int, phrase: int):
-    """Per text: words, SHA-256 of all of them joined by a space, and the winnowed phrases."""
+    """Per text: words, SHA-256 of all of them joined by a space, and the winnowed phrases with their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            sizes, digests, hs = [], [], []
+            sizes, digests, hs, all_words = [], [], [], []
             for text in texts_of(b.column(1)):
                 words = text.split()
                 sizes.append(len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).digest())
                 hs.append(hashes.of(words))
+                all_words += words
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
             h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
             places, spans = phrase_places(h, np.repeat(offsets[1:], sizes), window, phrase)
-            at = np.searchsorted(places, offsets)
-            owner = np.searchsorted(offsets, places, "right") - 1
-            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), x) for x in (pa.array(spans.view(np.int64)), pa.array(places - offsets[owner], pa.int32()))]
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists], ["doc_id", "n_words", "digest", "hashes", "places"])
+            at = pa.array(np.searchsorted(places, offsets), pa.int32())
+            said = pa.array([b" ".join(all_words[p : p + phrase]) for p in places.tolist()], pa.binary())
+            lists = [pa.ListArray.from_arrays(at, x) for x in (pa.array(spans.view(np.int64)), said)]
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists], ["doc_id", "n_words", "digest", "hashes", "phrases"])
 
     return run
 
 
-def locate(texts: list[list[bytes]], places: list[list[int]], phrase: int) -> list[np.ndarray]:
-    """Every place, in each text, where a phrase that starts at one of the given places of any of the texts occurs."""
-    import ahocorasick
+class Automaton:
+    """Aho-Corasick automaton over words that finds every occurrence of any of some phrases."""
 
-    ids: dict[bytes, int] = {}
-    coded = [tuple(ids.setdefault(w, len(ids)) for w in t) for t in texts]
-    found = {t[p : p + phrase] for t, ps in zip(coded, places) for p in ps}
-    if not found:
-        return [np.zeros(0, np.int64) for _ in texts]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for p in found:
-        automaton.add_word(p, phrase)
-    automaton.make_automaton()
-    return [np.array([end - n + 1 for end, n in automaton.iter(t)], np.int64) for t in coded]
+    def __init__(self, phrases: list[bytes]):
+        import ahocorasick
 
+        self.ids: dict[bytes, int] = {}
+        self.found = None
+        if phrases:
+            self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            for p in phrases:
+                words = p.split(b" ")
+                self.found.add_word(tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in words), len(words))
+            self.found.make_automaton()
 
-def _windows(window: int, phrase: int):
-    """Hashes of the windows whose own winnowed phrase is a located recurring one."""
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Where occurrences start."""
+        if self.found is None:
+            return np.zeros(0, np.int64)
+        get = self.ids.get
+        return np.array([end - n + 1 for end, n in self.found.iter(tuple([get(w, 0) for w in words]))], np.int64)
+
+
+def window_starts(h: np.ndarray, hits: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """Starts of the windows of a text, given by its words' hashes, whose smallest phrase is one that starts at a hit."""
+    if len(h) < window or not len(hits):
+        return np.zeros(0, np.int64)
+    spans = _span_hashes(h, phrase, _ODD)
+    located = np.full(len(spans), np.iinfo(np.uint64).max)
+    located[hits] = spans[hits]
+    wide = window - phrase + 1
+    return np.flatnonzero(_slide(located, wide, np.minimum) == _slide(spans, wide, np.minimum))
+
+
+PHRASES, CLASSES, TEXTS = 0, 1, 2
+STREAMED = "w1 long, w2 int, at long, cid long, base long, text string"
+
+
+def _stream(window: int, phrase: int, compiled=Automaton):
+    """Candidate windows, and the texts that have any, from rows in the order of shards: a shard's phrases, the classes whose
+    first document it holds, and its documents."""
+    names = [x.split()[0] for x in STREAMED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        shard, phrases, classes, automaton = None, [], {}, None
         for b in batches:
-            texts = [t.split() for t in texts_of(b.column(2))]
-            sizes = np.array([len(t) for t in texts], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            found = locate(texts, b.column(3).to_pylist(), phrase)
-            places = np.unique(np.concatenate([f + o for f, o in zip(found, offsets)])).astype(np.int64) if found else np.zeros(0, np.int64)
-            h = np.concatenate([hashes.of(t) for t in texts]) if texts else np.zeros(0, np.uint64)
-            if len(h) < window or not len(places):
-                continue
-            spans = _span_hashes(h, phrase, _ODD)
-            least = _slide(spans, window - phrase + 1, np.minimum)
-            n = len(h) - window + 1
-            starts = np.arange(n)
-            inside = starts + window <= np.repeat(offsets[1:], sizes)[:n]
-            starts = starts[inside & np.isin(least[:n], spans[places])]
-            owner = np.searchsorted(offsets, starts, "right") - 1
-            w1 = _span_hashes(h, window, _ODD)[starts].view(np.int64)
-            w2 = (_span_hashes(h, window, _ODD2)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            cid, base = (b.column(k).to_numpy(zero_copy_only=False)[owner] for k in (0, 1))
-            yield pa.record_batch([pa.array(w1), pa.array(w2), pa.array(base + starts - offsets[owner], pa.int64()), pa.array(cid, pa.int64())], ["w1", "w2", "at", "cid"])
+            shards, kinds = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            ids, data = b.column(2), b.column(3)
+            kept: list[tuple[int, int, bytes]] = []
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            cuts = np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                if lo == hi:
+                    continue
+                if shards[lo] != shard:
+                    shard, phrases, classes, automaton = shards[lo], [], {}, None
+                part, of = data.slice(lo, hi - lo).to_pylist(), ids.slice(lo, hi - lo).to_pylist()
+                if kinds[lo] == PHRASES:
+                    phrases += part
+                    continue
+                if kinds[lo] == CLASSES:
+                    classes.update(((i, d), x) for i, d, *x in zip(of, part, b.column(4).slice(lo, hi - lo).to_pylist(), b.column(5).slice(lo, hi - lo).to_pylist()))
+                    continue
+                automaton = automaton or compiled(phrases)
+                for i, text in zip(of, part):
+                    words = (text or b"").split()
+                    hits = automaton.places(words)
+                    if not len(hits) or not (mine := classes.pop((i, hashlib.sha256(b" ".join(words)).digest()), None)):
+                        continue  # nothing found, or not the first of its class
+                    h = hashes.of(words)
+                    starts = window_starts(h, hits, window, phrase)
+                    if len(starts):
+                        cid, base = mine
+                        kept.append((cid, base, text))
+                        out[0].append(_span_hashes(h, window, _ODD)[starts].view(np.int64))
+                        out[1].append((_span_hashes(h, window, _ODD2)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                        out[2].append(base + starts)
+                        out[3].append(np.full(len(starts), cid))
+            if kept:
+                columns = [pa.array(np.concatenate(x)) for x in out]
+                yield pa.record_batch([*columns, pa.nulls(len(columns[0]), pa.int64()), pa.nulls(len(columns[0]), pa.string())], names)
+                cid, base, text = zip(*kept)
+                none = [pa.nulls(len(kept), t) for t in (pa.int64(), pa.int32(), pa.int64())]
+                yield pa.record_batch([*none, pa.array(cid, pa.int64()), pa.array(base, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], names)
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts that are those of their class, not other texts under the same id."""
-    for b in batches:
-        keep = [hashlib.sha256(b" ".join(t.split())).digest() == d for t, d in zip(texts_of(b.column(2)), b.column(3).to_pylist())]
-        yield b.filter(pa.array(keep, pa.bool_())).select(["cid", "base", "text", "places"])
-
-
 def kept_words(words: list[bytes], starts: list[int], window: int) -> list[bytes]:
     """The words that no window at one of the starts covers."""
     cover = np.zeros(len(words) + 1, np.int64)
@@ -214,36 +255,40 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, wi
     spark = docs.sparkSession
     text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    searched = materialize(rows.mapInArrow(_search(window, phrase), "doc_id long, n_words long, digest binary, hashes array<long>, places array<int>"), "searched")
-    classes = searched.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("__null"), F.max("n_words").alias("n"))
+    searched = materialize(rows.mapInArrow(_search(window, phrase), "doc_id long, n_words long, digest binary, hashes array<long>, phrases array<binary>"), "searched")
+    documents = materialize(searched.select("doc_id", "n_words", "digest"), "documents")
+    classes = documents.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("__null"), F.max("n_words").alias("n"))
     classes = _in_order(classes.select("digest", F.when(~F.col("__null"), F.col("first")).alias("first"), "n"))
+    shards = 1 + (documents.agg(F.sum("n_words")).first()[0] or 0) // SHARD_WORDS
+    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).alias("shard")
 
-    firsts = searched.where(F.size("hashes") > 0).join(classes, "digest").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    spans = firsts.select("cid", F.explode(F.arrays_zip(F.col("hashes").alias("h"), F.col("places").alias("p"))).alias("x")).select("cid", F.col("x.h").alias("h"), F.col("x.p").alias("p"))
-    spans = materialize(spans, "spans")
+    firsts = searched.where(F.size("hashes") > 0).select("doc_id", "digest", "hashes").join(classes, "digest").where(F.col("doc_id").eqNullSafe(F.col("first")))
     # Written, so that the join's two sides are plain exchanges, whose hot keys Spark can split; so is ``earliest``.
-    recurring = materialize(spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "recurring")
+    recurring = materialize(firsts.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "recurring")
     release_shuffles(spark)
-    places = spans.join(recurring, "h").groupBy("cid").agg(F.collect_set("p").alias("places"))
-    needed = materialize(places.join(classes, "cid"), "needed")
-    forget(spans, recurring)
-    texts = rows.join(needed, rows["doc_id"].eqNullSafe(needed["first"])).select("cid", "base", "text", "digest", "places")
-    texts = materialize(texts.mapInArrow(_gathered, "cid long, base long, text string, places array<int>"), "texts")
-    forget(needed)
-
-    windows = materialize(texts.mapInArrow(_windows(window, phrase), "w1 long, w2 int, at long, cid long"), "windows")
+    said = searched.select(shard("doc_id"), F.explode(F.arrays_zip(F.col("hashes").alias("h"), F.col("phrases").alias("p"))).alias("x")).select("shard", F.col("x.h").alias("h"), F.col("x.p").alias("phrase"))
+    said = materialize(said.join(recurring, "h").groupBy("shard", "h", "phrase").agg(F.count(F.lit(1)).alias("n")), "said")
+    forget(searched, recurring)
+    once = materialize(said.groupBy("h", "phrase").agg(F.sum("n").alias("n")).where("n = 1").select("h", "phrase"), "once")  # other words under an equal hash
+    phrases = said.join(once, ["h", "phrase"], "left_anti").select("shard", F.lit(PHRASES).alias("kind"), F.lit(None).cast("long").alias("id"), F.col("phrase").alias("data"), F.lit(None).cast("long").alias("cid"), F.lit(None).cast("long").alias("base"))
+    owners = classes.where(F.col("n") >= window).select(shard("first"), F.lit(CLASSES), "first", "digest", "cid", "base")
+    texts = rows.select(shard("doc_id"), F.lit(TEXTS), "doc_id", F.col("text").cast("binary"), F.lit(None).cast("long"), F.lit(None).cast("long"))
+    both = phrases.union(owners).union(texts).repartition("shard").sortWithinPartitions("shard", "kind")
+    streamed = materialize(both.mapInArrow(_stream(window, phrase), STREAMED), "streamed")
+    forget(said, once)
+    windows, texts = streamed.where("w1 is not null").select("w1", "w2", "at", "cid"), streamed.where("text is not null").select("cid", "base", "text")
     earliest = materialize(windows.groupBy("w1").agg(F.min("at").alias("e"), F.min_by("w2", "at").alias("f2"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "earliest")
     release_shuffles(spark)
     later = materialize(windows.join(earliest, "w1").where("at > e and w2 = f2").select("cid", "at"), "later")
-    forget(windows, earliest)
+    forget(earliest)
     starts = later.groupBy("cid").agg(F.collect_set("at").alias("ats"))
-    removed = texts.select("cid", "base", "text").join(starts, "cid").select("cid", "text", F.transform("ats", lambda x: (x - F.col("base")).cast("int")).alias("starts"))
+    removed = texts.join(starts, "cid").select("cid", "text", F.transform("ats", lambda x: (x - F.col("base")).cast("int")).alias("starts"))
     removed = removed.mapInArrow(_removed(window, with_text), "cid long, gone long, kept_digest binary, kept_text string")
     removed = materialize(removed.dropDuplicates(["cid"]), "removed")
-    forget(later)
+    forget(later, streamed)
 
     known = classes.join(removed, "cid", "left").drop("cid", "base", "n")
-    out = searched.select("doc_id", "n_words", "digest").join(known, "digest")
+    out = documents.join(known, "digest")
     copy = (F.col("n_words") >= window) & ~F.col("doc_id").eqNullSafe(F.col("first"))
     none = hashlib.sha256(b"").digest()
     out = out.select(

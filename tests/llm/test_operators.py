@@ -11,6 +11,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from terrane.llm import decontamination, language, lm, nearcopies, packing, phrases, quality, sharding, toxicity, warc
@@ -274,6 +275,39 @@ def test_drop_repeats_keeps_columns(spark, docs):
         assert (i not in got) if n and not kept else got[i] == (" ".join(kept) if gone else before[i])
 
 
+def stream_rows(texts, phrases):
+    """A shard's rows as _stream takes them."""
+    rows = [(0, 0, None, p, None, None) for p in phrases]
+    base = 0
+    for i, t in enumerate(texts):
+        rows.append((0, 1, i, hashlib.sha256(" ".join(words(t)).encode()).digest(), i, base))
+        base += len(words(t))
+    rows += [(0, 2, i, t.encode(), None, None) for i, t in enumerate(texts)]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    return [pa.record_batch([pa.array(c, k) for c, k in zip(zip(*part), kinds)], list("abcdef")) for part in (rows[:2], rows[2:]) if part]
+
+
+def test_the_automaton_decides():
+    rng = random.Random(9)
+    say = lambda n: ["w%d" % rng.randrange(900) for _ in range(n)]
+    passage = say(30)
+    texts = [" ".join(say(25) + passage + say(25)) for _ in range(3)] + [" ".join(say(60))]
+    said = [" ".join(passage[k : k + 8]).encode() for k in range(23)]
+    got = [r for b in phrases._stream(20, 8)(iter(stream_rows(texts, said))) for r in b.to_pylist()]
+    starts = {(r["cid"], r["at"] - sum(len(words(t)) for t in texts[: r["cid"]])) for r in got if r["text"] is None}
+    assert {(i, s) for i in range(3) for s in range(25, 36)} <= starts and {r["cid"] for r in got if r["text"]} == {0, 1, 2}
+    assert not [b for b in phrases._stream(20, 8)(iter(stream_rows(texts, [])))]
+    assert not [b for b in phrases._stream(20, 8, lambda _: phrases.Automaton([]))(iter(stream_rows(texts, said)))]
+
+
+def test_automaton_finds_every_occurrence():
+    rng = random.Random(3)
+    text = [b"%d" % rng.randrange(3) for _ in range(400)]
+    some = {tuple(text[k : k + 5]) for k in range(0, 400, 37) if k + 5 <= 400}
+    got = phrases.Automaton([b" ".join(p) for p in some]).places(text)
+    assert sorted(got) == [k for k in range(396) if tuple(text[k : k + 5]) in some]
+
+
 # --- 7 -------------------------------------------------------------------------------------------
 
 
