@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from .common import forget, materialize, release_shuffles, text_batches, texts_o
 
 WINDOW, PHRASE = 20, 8
 SHARD_WORDS = 250_000
+SLICES = 4  # rounds in which phrases meet the recurring hashes; all are worked through
 WORDS_REMEMBERED = 500_000
 _ODD = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(256)]
 _ODD2 = [pow(0xD6E8FEB86659FD93, 2 * k + 1, 1 << 64) for k in range(256)]
@@ -267,7 +269,12 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, wi
     recurring = materialize(firsts.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "recurring")
     release_shuffles(spark)
     said = searched.select(shard("doc_id"), F.explode(F.arrays_zip(F.col("hashes").alias("h"), F.col("phrases").alias("p"))).alias("x")).select("shard", F.col("x.h").alias("h"), F.col("x.p").alias("phrase"))
-    said = materialize(said.join(recurring, "h").groupBy("shard", "h", "phrase").agg(F.count(F.lit(1)).alias("n")), "said")
+    parts = []
+    for k in range(SLICES):  # one after another, so that only one slice's shuffles are on disk
+        of_slice = F.pmod(F.col("h"), F.lit(SLICES)) == k
+        parts.append(materialize(said.where(of_slice).join(recurring.where(of_slice), "h").groupBy("shard", "h", "phrase").agg(F.count(F.lit(1)).alias("n")), "said"))
+        release_shuffles(spark)
+    said = reduce(DataFrame.union, parts)
     forget(searched, recurring)
     once = materialize(said.groupBy("h", "phrase").agg(F.sum("n").alias("n")).where("n = 1").select("h", "phrase"), "once")  # other words under an equal hash
     phrases = said.join(once, ["h", "phrase"], "left_anti").select("shard", F.lit(PHRASES).alias("kind"), F.lit(None).cast("long").alias("id"), F.col("phrase").alias("data"), F.lit(None).cast("long").alias("cid"), F.lit(None).cast("long").alias("base"))
