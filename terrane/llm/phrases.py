@@ -127,20 +127,29 @@ class Automaton:
         import ahocorasick
 
         self.ids: dict[bytes, int] = {}
-        self.found = None
+        self.found, self.shortest = None, 0
         if phrases:
             self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            sizes = set()
             for p in phrases:
                 words = p.split(b" ")
                 self.found.add_word(tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in words), len(words))
+                sizes.add(len(words))
             self.found.make_automaton()
+            self.shortest = min(sizes)
 
     def places(self, words: list[bytes]) -> np.ndarray:
-        """Where occurrences start."""
-        if self.found is None:
+        """Where occurrences start.  Words of no phrase cut the text; stretches shorter than any phrase hold none."""
+        if self.found is None or len(words) < self.shortest:
             return np.zeros(0, np.int64)
         get = self.ids.get
-        return np.array([end - n + 1 for end, n in self.found.iter(tuple([get(w, 0) for w in words]))], np.int64)
+        ids = np.array([0, *[get(w, 0) for w in words], 0])
+        cuts = np.flatnonzero(ids == 0)
+        long = np.flatnonzero(np.diff(cuts) > self.shortest)
+        out: list[int] = []
+        for a, z in zip((cuts[long] + 1).tolist(), cuts[long + 1].tolist()):
+            out += [a + end - n for end, n in self.found.iter(tuple(ids[a:z].tolist()))]
+        return np.array(out, np.int64)
 
 
 def window_starts(h: np.ndarray, hits: np.ndarray, window: int, phrase: int) -> np.ndarray:
@@ -270,9 +279,9 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, wi
     release_shuffles(spark)
     said = searched.select(shard("doc_id"), F.explode(F.arrays_zip(F.col("hashes").alias("h"), F.col("phrases").alias("p"))).alias("x")).select("shard", F.col("x.h").alias("h"), F.col("x.p").alias("phrase"))
     parts = []
-    for k in range(SLICES):  # one after another, so that only one slice's shuffles are on disk
+    for k in range(SLICES):  # one after another, so that only one slice's shuffles are on disk; Spark splits a merge join's hot keys
         of_slice = F.pmod(F.col("h"), F.lit(SLICES)) == k
-        parts.append(materialize(said.where(of_slice).join(recurring.where(of_slice), "h").groupBy("shard", "h", "phrase").agg(F.count(F.lit(1)).alias("n")), "said"))
+        parts.append(materialize(said.where(of_slice).join(recurring.where(of_slice).hint("merge"), "h").groupBy("shard", "h", "phrase").agg(F.count(F.lit(1)).alias("n")), "said"))
         release_shuffles(spark)
     said = reduce(DataFrame.union, parts)
     forget(searched, recurring)
