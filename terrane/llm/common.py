@@ -54,12 +54,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(*tables: DataFrame) -> None:
-    """Delete the files of tables from :func:`materialize` that no later plan reads, and let Spark drop old shuffles."""
-    spark = tables[0].sparkSession
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from :func:`materialize` that no later plan reads."""
     for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
-        delete_path(spark, path)
-    release_shuffles(spark)
+        delete_path(tables[0].sparkSession, path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """:func:`discard` tables, and let Spark drop old shuffles."""
+    discard(*tables)
+    release_shuffles(tables[0].sparkSession)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -3,28 +3,36 @@
 Tokens are byte-level BPE ids of a public vocabulary plus an end id for each document.  Longer documents are cut into full
 pieces, the first of which may be shorter.
 
-Packing is bulk-synchronous best fit.  Pieces of one length are interchangeable, and so are sequences with one gap, so both
-sides are range-sorted as size classes with counts (at most ``max_tokens`` of each) and a sweep goes down the piece classes:
-each class takes its successor, the smallest gap class that holds it, and the next one while pieces are left; which piece
-meets which sequence is settled by rank within the two classes; gaps are updated and the sweep goes on, opening sequences
-only where no gap is wide enough.  This yields what best-fit decreasing yields piece by piece.  The data stay distributed:
-the histogram of lengths (one row for each length), ranks within classes, and the join with the plan's rank intervals.
+Packing is bulk-synchronous best fit.  Pieces of over half a sequence open one each.  Then, in rounds:
+
+1. the longest pieces left (those over ``BAND`` of the longest) and the gaps that may hold one are sorted together by size, in
+   ranges dealt to tasks;
+2. each task sweeps its range from large to small: a piece takes its successor, the smallest gap met so far that still has room
+   (a gap far larger than the longest piece takes several);
+3. pieces whose successor lies in an earlier range, and gaps that no piece of their own range took, are matched across ranges by
+   rank: only the ranges' counts meet on the driver, and every piece and slot knows its rank in its range;
+4. gaps are updated, and what found no gap goes on to the next round; new sequences are opened, for the tokens that wait, only
+   when no gap holds any of the band.
+
+No task sees more than one range, and the rounds depend on ``max_tokens``, not on the number of pieces.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialize, ranked, text_batches, texts_of
+from .common import discard, materialize, text_batches
 
 MAX_TOKENS = 1024
 END_ID = 2
+BAND = 0.75
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a worker remembers before it starts anew; some 200 MB.
@@ -91,7 +99,12 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str | None) -> Encoder:
+    """The worker's encoder; without a path, of the vocabulary that the worker's own installation has."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(VOCABULARY)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -108,10 +121,6 @@ def token_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = EN
 
     A null or empty text is the end id alone.  Rows of one doc_id are documents of their own.
     """
-    if vocabulary is None:
-        import public_tokenizers
-
-        vocabulary = public_tokenizers.path(VOCABULARY)
     end = end_id.to_bytes(4, "little")
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
     names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
@@ -131,59 +140,154 @@ def token_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = EN
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids binary" * with_ids)
 
 
-def best_fit_plan(counts: dict[int, int], max_tokens: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, pieces, first sequence, offset): the pieces of these ranks go one each to these sequences."""
-    plan, opened = [], 0
-    gaps: dict[int, deque[tuple[int, int]]] = {}  # gap: intervals of sequences (first, how many)
-
-    def fill(length: int, rank: int, left: int, first: int, n: int, gap: int) -> int:
-        """Put up to ``left`` pieces into n sequences with this gap, each filled before the next; returns how many went."""
-        each, went = gap // length, 0
-        for m, k in ((min(n, left // each), each), (1, left % each)):  # filled ones, then one with what remains
-            if m and k and n:
-                plan.extend((length, rank + went + j * m, m, first, max_tokens - gap + j * length) for j in range(k))
-                if gap > k * length:
-                    gaps.setdefault(gap - k * length, deque()).append((first, m))
-                first, n, went = first + m, n - m, went + m * k
-        if n:
-            gaps.setdefault(gap, deque()).appendleft((first, n))
-        return went
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            gap = min((g for g in gaps if g >= length), default=None)
-            if gap is None:
-                n = -(-left // (max_tokens // length))
-                went, opened = fill(length, rank, left, opened, n, max_tokens), opened + n
-            else:
-                first, n = gaps[gap].popleft()
-                if not gaps[gap]:
-                    del gaps[gap]
-                went = fill(length, rank, left, first, n, gap)
-            rank, left = rank + went, left - went
-    return plan
-
-
-def best_fit(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to rows with ``doc_id, piece, start, length`` of 1 to max_tokens each.
-
-    ``pieces`` is read three times; pass a written table.  Equal rows are interchangeable.
+SWEPT = "kind int, id long, size long, range int, rank long, slots long, sequence_id long"
+
+
+def _sweep(longest: int):
+    """Match the pieces (kind 1) of a range with its gaps (kind 0), from rows that fall in size, gaps before pieces.
+
+    Pieces come out with their sequence, or with their rank among the range's unmatched; gaps with what is left of them and, for
+    slots no piece took, the rank of the first, counted from the smallest gap.
     """
+    names = [x.split()[0] for x in SWEPT.split(", ")]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at, waiting = TaskContext.get().partitionId(), 0
+        open_: list[list[int]] = []  # sequence, room, slots; the smallest gap last
+        for b in batches:
+            rows = []
+            for kind, id_, size in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == 0:
+                    open_.append([id_, size, max(1, size // longest)])
+                elif not open_:
+                    rows.append((1, id_, size, at, waiting, None, None))
+                    waiting += 1
+                else:
+                    gap = open_[-1]
+                    gap[1] -= size
+                    gap[2] -= 1
+                    rows.append((1, id_, size, at, None, None, gap[0]))
+                    if not gap[2]:
+                        rows.append((0, gap[0], gap[1], at, None, 0, None))
+                        open_.pop()
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        rank = 0
+        while open_:
+            rows = []
+            for _ in range(min(len(open_), 10_000)):
+                id_, size, slots = open_.pop()
+                rows.append((0, id_, size, at, rank, slots, None))
+                rank += slots
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return run
+
+
+def match_ranges(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(range, first rank, pieces, range of the gaps, first slot) from (range, waiting pieces, free slots) in falling order.
+
+    A range's waiting pieces take the free slots of the nearest ranges before it, the smallest gaps first.
+    """
+    out: list[tuple[int, int, int, int, int]] = []
+    free: list[list[int]] = []  # range, first free slot, slots
+    for at, waiting, slots in sorted(counts):
+        rank = 0
+        while rank < waiting and free:
+            q = free[-1]
+            n = min(waiting - rank, q[2])
+            out.append((at, rank, n, q[0], q[1]))
+            q[1], q[2], rank = q[1] + n, q[2] - n, rank + n
+            if not q[2]:
+                free.pop()
+        if slots:
+            free.append([at, 0, slots])
+    return out
+
+
+def _across_ranges(swept: DataFrame) -> DataFrame | None:
+    """``id, size, sequence_id`` of pieces that go to a gap of another range; None if there are none."""
+    spark = swept.sparkSession
+    totals = swept.groupBy("range").agg(F.count(F.when(F.col("sequence_id").isNull() & (F.col("kind") == 1), 1)).alias("w"), F.sum(F.when(F.col("kind") == 0, F.col("slots")).otherwise(0)).alias("s"))
+    plan = match_ranges([(r["range"], r["w"], r["s"]) for r in totals.collect()])  # a row for each range
+    if not plan:
+        return None
+    used: dict[int, int] = {}
+    for _, _, n, q, first in plan:
+        used[q] = max(used.get(q, 0), first + n)
+    # Both tables have about a row for each range, and are sent to all executors.
+    plan_ = spark.createDataFrame(plan, "range int, __from long, __n long, of int, __slot long")
+    used_ = spark.createDataFrame(list(used.items()), "of int, used long")
+    waiting = swept.where("kind = 1 and sequence_id is null").select("id", "size", "range", "rank").join(F.broadcast(plan_), "range").where("rank >= __from and rank < __from + __n")
+    waiting = waiting.select("id", "size", "of", (F.col("__slot") + F.col("rank") - F.col("__from")).alias("slot"))
+    slots = swept.where("kind = 0 and slots > 0").select(F.col("id").alias("sequence_id"), F.col("range").alias("of"), "rank", "slots").join(F.broadcast(used_), "of").where("rank < used")
+    slots = slots.select("sequence_id", "of", F.explode(F.sequence("rank", F.least(F.col("rank") + F.col("slots"), F.col("used")) - 1)).alias("slot"))
+    return materialize(waiting.join(slots, ["of", "slot"]).select("id", "size", "sequence_id"), "across")
+
+
+def _sequences(pieces: DataFrame, max_tokens: int, band: float) -> DataFrame:
+    """``id, sequence_id`` of pieces ``id, length`` of at most half a sequence; longer ones have their own, named after them."""
     spark = pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if any(not 1 <= k <= max_tokens for k in counts):
+    own = F.col("length") * 2 > max_tokens
+    state = pieces.select(F.when(own, 0).otherwise(1).alias("kind"), "id", F.when(own, max_tokens - F.col("length")).otherwise(F.col("length")).cast("long").alias("size")).where("size > 0")
+    state, placed, opened, bound = materialize(state, "state"), [], 0, max_tokens // 2
+    of = lambda k, c: F.when(F.col("kind") == k, c)
+    while True:
+        room = F.sum(of(0, F.floor(F.col("size") / F.lit(bound))))
+        first = state.agg(F.count(of(1, 1)).alias("n"), F.max(of(1, F.col("size"))).alias("longest"), F.max(of(0, F.col("size"))).alias("gap"), room.alias("room")).first()
+        if not first["n"]:
+            break
+        bound = first["longest"]  # a bound of the next rounds' pieces too
+        # All pieces take part if they surely fit, else the longest only.
+        low = 0 if (first["room"] or 0) >= first["n"] else int(bound * band)
+        mine = F.col("size") > low
+        waiting = state.where(mine & (F.col("kind") == 1)).agg(F.min("size").alias("least"), F.sum("size").alias("tokens")).first()
+        if (first["gap"] or 0) < waiting["least"]:
+            new = -(-waiting["tokens"] // max_tokens)
+            gaps = spark.range(new).select(F.lit(0).alias("kind"), (-F.col("id") - (opened + 1)).alias("id"), F.lit(max_tokens).cast("long").alias("size"))
+            state, opened = state.union(gaps), opened + new
+        order = [F.desc("size"), "kind", "id"]
+        events = state.where(mine).repartitionByRange(*order).sortWithinPartitions(*order)
+        swept = materialize(events.mapInArrow(_sweep(bound), SWEPT), "swept")
+        placed.append(swept.where("kind = 1 and sequence_id is not null").select("id", "sequence_id"))
+        pieces_left, gaps_left = swept.where("kind = 1 and sequence_id is null"), swept.where("kind = 0")
+        across = _across_ranges(swept)
+        if across is not None:
+            placed.append(across.select("id", "sequence_id"))
+            pieces_left = pieces_left.join(across.select("id"), "id", "left_anti")
+            taken = across.groupBy(F.col("sequence_id").alias("id")).agg(F.sum("size").alias("__taken"))
+            gaps_left = gaps_left.join(taken, "id", "left").withColumn("size", F.col("size") - F.coalesce("__taken", F.lit(0)))
+        rest, before = state.where(~mine).select("kind", "id", "size"), state
+        state = materialize(rest.union(pieces_left.select("kind", "id", "size")).union(gaps_left.where("size > 0").select("kind", "id", "size")), "state")
+        discard(before)
+    discard(state)
+    empty = pieces.select("id", F.col("id").alias("sequence_id")).where("false")
+    return reduce(DataFrame.union, placed, empty)
+
+
+def best_fit(pieces: DataFrame, max_tokens: int = MAX_TOKENS, band: float = BAND) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to max_tokens each.
+
+    Repeated rows are pieces of their own, and pieces of equal length go in any order.  An empty table gives an empty one.
+    ``band``: pieces shorter than this share of the longest wait for a later round, unless all surely fit; nearer to 1 takes
+    more rounds and wastes less.
+    """
+    numbered = materialize(pieces.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    limits = numbered.agg(F.min("length").alias("a"), F.max("length").alias("z"), F.count(F.when(F.col("length").isNull(), 1)).alias("none")).first()
+    if limits["none"] or (limits["a"] is not None and not 1 <= limits["a"] <= limits["z"] <= max_tokens):
         raise ValueError(f"lengths must be from 1 to {max_tokens}")
-    plan = spark.createDataFrame(best_fit_plan(counts, max_tokens), "length long, __from long, __n long, __first long, offset long")
-    # Full pieces may be most of the rows, so their rank is counted over many more buckets than that of other lengths.
-    spread = F.xxhash64("doc_id", "piece")
-    bucket = F.when(F.col("length") == max_tokens, F.pmod(spread, F.lit(4096))).otherwise(F.pmod(spread, F.lit(64)))
-    rows = ranked(pieces, ["length"], bucket, [F.col(c) for c in ("doc_id", "piece", "start")], "__r")
-    # The plan has few rows for each length, whatever the input's size, and is sent to all executors.
-    rows = rows.join(F.broadcast(plan), (rows["length"] == plan["length"]) & (F.col("__r") >= F.col("__from")) & (F.col("__r") < F.col("__from") + F.col("__n"))).drop(plan["length"])
-    return rows.withColumn("sequence_id", F.col("__first") + F.col("__r") - F.col("__from")).drop("__r", "__from", "__n", "__first").select(*pieces.columns, "sequence_id", "offset")
+    found = _sequences(numbered.select(F.col("__id").alias("id"), "length"), max_tokens, band).toDF("__id", "__seq")
+    rows = numbered.join(found, "__id", "left").withColumn("sequence_id", F.coalesce("__seq", "__id"))
+    upto = Window.partitionBy("sequence_id").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0)  # a sequence's pieces
+    return rows.select(*pieces.columns, "sequence_id", (F.sum("length").over(upto) - F.col("length")).cast("long").alias("offset"))
 
 
 def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of every document."""
-    return best_fit(materialize(token_pieces(docs, max_tokens, end_id, vocabulary), "pieces"), max_tokens)
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of every row of ``docs``.
+
+    Null and empty texts are the end id alone; repeated rows and ids are documents of their own; other columns are ignored.
+    """
+    return best_fit(token_pieces(docs, max_tokens, end_id, vocabulary), max_tokens)

@@ -337,22 +337,74 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_plan_is_best_fit_decreasing():
+def best_fit_decreasing(lengths, room):
+    """Sequences that best-fit decreasing opens."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else room) - n)
+    return len(gaps)
+
+
+def test_successor_sweeps_pack_like_best_fit_decreasing(spark):
     rng = random.Random(0)
-    for _ in range(30):
-        lengths = [rng.randint(1, 32) for _ in range(200)]
-        gaps, used = [], collections.Counter()
-        for n in sorted(lengths, reverse=True):
-            fits = [g for g in gaps if g >= n]
-            g = min(fits) if fits else 32
-            if fits:
-                gaps.remove(g)
-            gaps.append(g - n)
-        plan = packing.best_fit_plan(collections.Counter(lengths), 32)
-        for length, _, n, first, _ in plan:
-            for s in range(first, first + n):
-                used[s] += length
-        assert sorted(32 - u for u in used.values()) == sorted(gaps)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges, for matches across them
+    try:
+        for lengths in ([rng.randint(1, 64) for _ in range(700)], [22] * 100 + [3] * 150 + [64] * 20, [rng.randint(1, 9) for _ in range(400)]):
+            df = spark.createDataFrame([(i % 50, n) for i, n in enumerate(lengths)], "sequence long, length long")
+            got = packing.best_fit(df, 64).collect()
+            assert sorted(r["length"] for r in got) == sorted(lengths)
+            groups = collections.defaultdict(list)
+            for r in got:
+                groups[r["sequence_id"]].append((r["offset"], r["length"]))
+            for parts in groups.values():
+                at = 0
+                for offset, n in sorted(parts):
+                    assert offset == at
+                    at += n
+                assert at <= 64
+            assert len(groups) <= best_fit_decreasing(lengths, 64) + 1 + len(lengths) // 100
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ranges_match_as_one_sweep_would():
+    """Cut a falling list of gaps and pieces anywhere: sweeps of the parts and the match by rank place as one sweep does."""
+    import pyspark
+
+    rng = random.Random(4)
+    at = [0]
+
+    class Context:
+        @staticmethod
+        def get():
+            return type("Task", (), {"partitionId": staticmethod(lambda: at[0])})
+
+    kinds = (pa.int32(), pa.int64(), pa.int64())
+    old, pyspark.TaskContext = pyspark.TaskContext, Context
+    try:
+        for _ in range(50):
+            events = sorted([(-rng.randint(1, 30), k, i) for i in range(60) for k in (0, 1)])
+            sets = []
+            for cuts in ([0, 120], sorted([0, 120, *(rng.randrange(120) for _ in range(5))])):
+                placed, counts, out = {}, [], []
+                for p, (a, z) in enumerate(zip(cuts, cuts[1:])):
+                    at[0] = p
+                    cols = [pa.array([x[k] if k else -x[0] for x in events[a:z]], t) for k, t in ((1, kinds[0]), (2, kinds[1]), (0, kinds[2]))]
+                    rows = [r for b in packing._sweep(30)(iter([pa.record_batch(cols, ["kind", "id", "size"])])) for r in b.to_pylist()]
+                    placed.update({r["id"]: r["sequence_id"] for r in rows if r["kind"] and r["sequence_id"] is not None})
+                    counts.append((p, sum(r["kind"] and r["sequence_id"] is None for r in rows), sum(r["slots"] for r in rows if not r["kind"])))
+                    out += rows
+                waiting = {(r["range"], r["rank"]): r["id"] for r in out if r["kind"] and r["sequence_id"] is None}
+                slots = {(r["range"], r["rank"] + k): r["id"] for r in out if not r["kind"] for k in range(r["slots"])}
+                for p, first, n, q, slot in packing.match_ranges(counts):
+                    placed.update({waiting[p, first + k]: slots[q, slot + k] for k in range(n)})
+                sets.append(placed)
+            assert sets[0] == sets[1] and sets[0]
+    finally:
+        pyspark.TaskContext = old
 
 
 # --- 8 -------------------------------------------------------------------------------------------
