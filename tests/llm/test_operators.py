@@ -442,6 +442,27 @@ def test_toxicity_bound_is_filled_from_the_documents(spark):
     assert toxicity._labelled(docs, labels, 20).count() == 20
 
 
+def test_gradient_of_the_bags():
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.integers(0, 2)), int(rng.integers(0, 3)), [sorted(set(rng.integers(0, 6, 3).tolist())) for _ in range(rng.integers(0, 4))]) for _ in range(40)]
+    rows = [r for r in rows if r[1] or r[2]]
+    bags, theta = toxicity.Bags(rows, 6), rng.normal(0, 1, 7)
+    loss = lambda k, h: bags.loss(theta + h * np.eye(7)[k], 0.01)[0]
+    assert bags.loss(theta, 0.01)[1] == pytest.approx([(loss(k, 1e-6) - loss(k, -1e-6)) / 2e-6 for k in range(7)], abs=1e-6)
+
+
+def test_held_out_toxicity(spark):
+    """Precision and recall on the fold that isn't learned from, and one row for each of a repeated document."""
+    path = "/root/testdata/sf0.01/%s.parquet"
+    docs, labels = spark.read.parquet(path % "documents"), spark.read.parquet(path % "labels")
+    model = toxicity.train(docs, labels)
+    rows = toxicity.score_toxicity(docs, model).where("held_out").join(labels.select("doc_id", "toxic").where("toxic is not null"), "doc_id").collect()
+    hit = sum(r["predicted"] and r["toxic"] for r in rows)
+    assert hit >= 0.8 * sum(r["predicted"] for r in rows) and hit >= 0.4 * sum(r["toxic"] for r in rows) > 0
+    some = docs.limit(20)
+    assert toxicity.score_toxicity(some.union(some), model).count() == 40
+
+
 def test_noisy_or_of_sentences():
     m = toxicity.Model(-2.0, {b"vile": 3.0})
     ps = [p for _, p in m.sentences(b"vile man. good man.")]
