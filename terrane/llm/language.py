@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,36 +27,36 @@ from .common import fold, text_batches, texts_of
 VOCABULARY = "byte_bpe_50k.tiktoken"
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
-LONGEST_PIECE = 16  # bytes; longer pieces of the vocabulary are left out
-LONGEST_RUN = 256  # bytes; longer runs of letters are cut
+LONG_RUN = 256  # bytes; longer runs of letters are summed one by one, and learned from in parts
 REMEMBERED = 400_000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
+#: What can occur in a run: letters as they come from :func:`letter_runs`, after at most one space.
+_USABLE = re.compile(rb" ?[a-z\x80-\xff]*")
 #: Everything in ASCII but letters becomes a space.
 _PLAIN = bytes(c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
 def letter_runs(text: str) -> list[bytes]:
-    """Lower-case runs between ASCII non-letters, each at most LONGEST_RUN bytes."""
-    runs = text.lower().encode().translate(_PLAIN).split()
-    if any(len(r) > LONGEST_RUN for r in runs):
-        runs = [r[i : i + LONGEST_RUN] for r in runs for i in range(0, len(r), LONGEST_RUN)]
-    return runs
+    """Lower-case runs between ASCII non-letters."""
+    return text.lower().encode().translate(_PLAIN).split()
 
 
 def vocabulary(path: str | None = None) -> list[bytes]:
+    """The pieces that a run of letters can hold."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
     with open(path) as f:
         pieces = [base64.b64decode(line.split()[0]) for line in f]
-    return [p for p in pieces if len(p) <= LONGEST_PIECE]
+    return [p for p in pieces if p and _USABLE.fullmatch(p)]
 
 
 class Trie:
     """The vocabulary as a trie in sorted arrays, walked for many words at once."""
 
     def __init__(self, pieces: list[bytes]):
+        self.index, self.longest = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
         nodes: dict[bytes, int] = {b"": 0}
         for p in pieces:
             for k in range(1, len(p) + 1):
@@ -84,7 +85,7 @@ class Trie:
         for i in range(n):
             rows = np.arange(len(words))
             node = self.root[words[:, i]]
-            for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1):
+            for j in range(i + 1, min(n, i + self.longest) + 1):
                 if j > i + 1:
                     node = self.step(node, words[rows, j - 1].astype(np.int64))
                 live = node >= 0
@@ -109,11 +110,11 @@ def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part, np.frombuffer(b"".join(b" " + words[i] for i in part), np.uint8).reshape(len(part), n + 1)
 
 
-def _scaled(alpha: np.ndarray, scale: np.ndarray, upto: int) -> None:
+def _scaled(alpha: np.ndarray, scale: np.ndarray, upto: int, longest: int) -> None:
     """Keep the newest forward sums near 1: divide what later sums still read, and note the factor's logarithm."""
     top = alpha[upto].max(axis=1)
     top[top <= 0] = 1.0
-    for k in range(max(0, upto - LONGEST_PIECE), upto + 1):
+    for k in range(max(0, upto - longest), upto + 1):
         alpha[k] /= top[:, None]
     scale += np.log(top)
 
@@ -121,6 +122,14 @@ def _scaled(alpha: np.ndarray, scale: np.ndarray, upto: int) -> None:
 def log_likelihoods(words: list[bytes], trie: Trie, probs: np.ndarray) -> np.ndarray:
     """log P(word | language), a row for each word: the forward sum over all segmentations.  probs: pieces x languages."""
     out = np.zeros((len(words), probs.shape[1]))
+    short = [i for i, w in enumerate(words) if len(w) <= LONG_RUN]
+    if len(short) < len(words):
+        for i, w in enumerate(words):
+            if len(w) > LONG_RUN:
+                out[i] = long_log_likelihood(b" " + w, trie, probs)
+        if short:
+            out[short] = log_likelihoods([words[i] for i in short], trie, probs)
+        return out
     for at, rows in _by_length(words):
         n = rows.shape[1]
         alpha = np.zeros((n + 1, len(at), probs.shape[1]))
@@ -130,11 +139,26 @@ def log_likelihoods(words: list[bytes], trie: Trie, probs: np.ndarray) -> np.nda
             for i, some, piece in edges:
                 alpha[j, some] += alpha[i, some] * probs[piece]
             if j and j % 4 == 0:
-                _scaled(alpha, scale, j)
+                _scaled(alpha, scale, j, trie.longest)
         out[at] = np.log(np.maximum(alpha[n], 1e-300)) + scale[:, None]
     return out
 
 
+def long_log_likelihood(run: bytes, trie: Trie, probs: np.ndarray) -> np.ndarray:
+    """The same forward sum for one run of any length, holding as many sums as a piece is long."""
+    sums, scale = [np.ones(probs.shape[1])], np.zeros(probs.shape[1])
+    for j in range(1, len(run) + 1):
+        total = np.zeros(probs.shape[1])
+        for k in range(1, len(sums) + 1):
+            if (p := trie.index.get(run[j - k : j])) is not None:
+                total += sums[-k] * probs[p]
+        sums = sums[1 - trie.longest :] + [total] if trie.longest > 1 else [total]
+        if j % 16 == 0:
+            top = np.maximum(sums[-1], 1e-300)
+            sums, scale = [x / top for x in sums], scale + np.log(top)
+    return np.log(np.maximum(sums[-1], 1e-300)) + scale
+
+
 def expected_counts(words: list[bytes], counts: np.ndarray, trie: Trie, probs: np.ndarray) -> np.ndarray:
     """Expected piece counts (pieces x languages) of ``counts`` (words x languages), by forward-backward."""
     out = np.zeros_like(probs)
@@ -220,15 +244,16 @@ def train(docs: DataFrame, max_docs: int = 400, rounds: int = 3, smoothing: floa
     rows = docs.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # One row for each language; the model has a column for each of them too.
-    share = {r["lang"]: min(1.0, max_docs / r["n"]) for r in sizes.collect()}
-    bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v * (1 << 20))) for k, v in sorted(share.items())], F.lit(0.0))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < bound)
+    share = {r["lang"]: max_docs / r["n"] for r in sizes.collect()}
+    at = F.xxhash64("doc_id", "text")  # of 2^64 values, so that the share of any corpus can be cut off
+    top = lambda v: F.lit(min((1 << 63) - 1, int(v * (1 << 64)) - (1 << 63)))
+    picked = rows.where(F.coalesce(*[F.when(F.col("lang") == k, at <= top(v)) for k, v in sorted(share.items())], F.lit(False)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, bytes], int] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w in letter_runs(text):
+                for w in [r[i : i + LONG_RUN] for r in letter_runs(text) for i in range(0, len(r), LONG_RUN)]:
                     seen[lang, w] = seen.get((lang, w), 0) + 1
         if seen:
             yield pa.record_batch([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
@@ -249,7 +274,10 @@ def train(docs: DataFrame, max_docs: int = 400, rounds: int = 3, smoothing: floa
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of each row; ``und`` and 0 for a text that is null or has no letter."""
+    """``doc_id, held_out, lang_pred, score`` of each row; ``und`` and 0 for a text that is null or has no letter.
+
+    Texts are scored whole; equal likelihoods go to the language that sorts first; repeated rows are scored one by one.
+    """
     text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed vocabulary by languages
 
