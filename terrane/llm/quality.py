@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SPACE = " \t\n\x0b\f\r"
-POSITION_BITS = 26
 #: feature: SQL over the statistics.
 FEATURES = {
     "words": "cast(n_words as double)",
@@ -49,28 +48,25 @@ def text_stats(docs: DataFrame, *keep: str) -> DataFrame:
     """``doc_id``, the ``keep`` columns, and counts of each whole text (null: as empty, all counts 0).
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words as the contract has them; n_lines with a word, n_distinct
-    words, n_capitals, n_ends (sentence ends).  Windows of three words are compared by a 38-bit hash first, sorted with their
-    places in one long (texts of up to 2^26 words), then word by word; no step is quadratic in a text's length.
+    words, n_capitals, n_ends (sentence ends).  Windows of three words are sorted, by a hash and then by the words themselves, so
+    that equal ones stand together; no step is quadratic in a text's length.  Repeated rows are counted one by one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.trim(text, F.lit(SPACE))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text.alias("__t"), F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \x09-\x0D]+")).alias("__w"))
     w, n = F.col("__w"), F.size("__w")
-    # A window's hash and place in one long; sorting brings equal windows together.
-    place = lambda x: x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
-    window = lambda i: F.shiftleft(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), POSITION_BITS).bitwiseOR(i.cast("long"))
-    windows = F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))).otherwise(F.array().cast("array<bigint>"))
 
-    def same(a: Column, b: Column) -> Column:
-        i, j = place(a), place(b)
-        words = (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
-        return F.coalesce((F.shiftright(a, POSITION_BITS) == F.shiftright(b, POSITION_BITS)) & words, F.lit(False))
+    def window(i: Column) -> Column:
+        words = [F.get(w, i + k) for k in range(3)]
+        return F.struct(F.xxhash64(*words).alias("h"), *[x.alias(f"w{k}") for k, x in enumerate(words)], i.alias("at"))
 
+    windows = F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window)))
+    same = lambda a, b: F.coalesce((a["h"] == b["h"]) & (a["w0"] == b["w0"]) & (a["w1"] == b["w1"]) & (a["w2"] == b["w2"]), F.lit(False))
     twice = F.filter("__windows", lambda x, k: same(F.get(F.col("__windows"), k - 1), x) | same(x, F.get(F.col("__windows"), k + 1)))
     lines = F.filter(F.split("__t", "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "")
     length = lambda pattern: F.length(F.regexp_replace("__t", pattern, "")).cast("long")
     out = out.withColumn("__windows", windows).withColumn("__lines", lines)
-    out = out.withColumn("__twice", F.sort_array(F.transform(twice, place)))
+    out = out.withColumn("__twice", F.coalesce(F.sort_array(F.transform(twice, lambda x: x["at"])), F.array().cast("array<int>")))
     added = F.aggregate("__twice", F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")))
     return out.select(
         "doc_id", *keep, n.cast("long").alias("n_words"), F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
