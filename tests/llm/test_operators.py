@@ -9,6 +9,7 @@ import random
 import re
 import struct
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -109,10 +110,10 @@ def test_shards_hold_the_law(spark, docs, empty):
 
 
 def brute_likelihood(word, pieces, p):
-    a = [1.0] + [0.0] * len(word)
+    a = [Decimal(1)] + [Decimal(0)] * len(word)
     for j in range(1, len(word) + 1):
-        a[j] = sum(a[i] * p[pieces[word[i:j]]] for i in range(max(0, j - language.LONGEST_PIECE), j) if word[i:j] in pieces)
-    return math.log(a[-1])
+        a[j] = sum((a[i] * Decimal(float(p[pieces[word[i:j]]])) for i in range(j) if word[i:j] in pieces), Decimal(0))
+    return float(a[-1].ln())
 
 
 def test_forward_sums_all_segmentations():
@@ -127,6 +128,21 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(got).all()
 
 
+def test_prediction_is_the_likeliest_language():
+    pieces = language.vocabulary()
+    rng = np.random.default_rng(1)
+    probs = rng.dirichlet(np.ones(len(pieces)), 3).T + 1e-5
+    index = {p: i for i, p in enumerate(pieces)}
+    model = language.Model(["a", "b", "c"], probs)
+    texts = ["the house on the hill", "Wasser, straße 12 und", "née à l'été", "x" * 300, "q"]
+    for text, (lang, score) in zip(texts, model.predict(texts)):
+        total = np.array([sum(brute_likelihood(b" " + w, index, probs[:, k]) for w in language.letter_runs(text)) for k in range(3)])
+        assert lang == "abc"[int(total.argmax())] and score == pytest.approx(1 / np.exp(total - total.max()).sum())
+    assert [model.predict([t])[0] for t in ("½ ²", "①", "__ 7", None)] == [("und", 0.0)] * 4
+    long = (b"abcde" * 60)[:290]
+    assert language.log_likelihoods([long, b"a"], language.Trie(pieces), probs)[0] == pytest.approx([brute_likelihood(b" " + long, index, probs[:, k]) for k in range(3)])
+
+
 def test_language_identification(spark, empty):
     rng = random.Random(2)
     heads = {"en": ["the", "and", "which", "house", "water"], "de": ["der", "und", "straße", "wasser", "haus"]}
@@ -225,6 +241,17 @@ def test_quality_stats_and_rules(spark, docs, empty):
     assert quality.score_quality(docs, labels.limit(0)).where("kept").count() == sum(not r["base_failed"] for r in got.values())
 
 
+def test_quality_of_repeated_rows_and_hits_of_rules(spark, docs):
+    """kept is what the ordered rules say, by plain Python over the statistics; repeated rows each have a row."""
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(70)], "doc_id long, quality int")
+    stats = quality.text_stats(docs.union(docs)).cache()
+    rules = quality.learn_rules(stats, labels, bins=4, precision=0.1)
+    got = quality.with_features(stats).select("*", quality.verdict(rules).alias("kept")).collect()
+    assert rules and len(got) == 2 * docs.count()
+    holds = lambda r, c: r[c.feature] > c.at if c.above else r[c.feature] <= c.at
+    assert all(r["kept"] == (not any(all(holds(r, c) for c in rule) for rule in rules)) for r in got)
+
+
 def test_rules_find_planted_conjunction(spark):
     rng = random.Random(4)
     rows, labels = [], []
