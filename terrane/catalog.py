@@ -217,12 +217,12 @@ def _(g: Graph):
     return similarity.nearest(g.nodes.where("node % 20 = 0"), g.nodes, 5)
 
 
-@query("neighbour_table", "sim")
-def _(g: Graph):
-    return graph.neighbour_table(g.nodes, graph.adjacency(g.edges), 5, SEED)
+SHUFFLE = f"(({{}} * 2654435761 + {SEED * 97}) % 4294967296)"
 
 
-SHUFFLE = f"(({{}} * 2654435761 + {SEED * 97}) % 4294967296)"
+@query("neighbour_table", "sim", ADJ + f"r as (select u, v, row_number() over (partition by u order by {SHUFFLE.format('v')}, v) - 1 k from adj), d as (select u, least(count(*), 5) d from adj group by u), s as (select node, unnest(range(0, 5)) slot from nodes) select s.node, cast(s.slot as int) slot, r.v neighbour from s left join d on d.u = s.node left join r on r.u = s.node and r.k = s.slot % d.d")
+def _(g: Graph):
+    return graph.neighbour_table(g.nodes, graph.adjacency(g.edges), 5, SEED)
 
 
 @query("neighbour_sample", "sim", ADJ + f"r as (select u, v, row_number() over (partition by u order by {SHUFFLE.format('v')}, v) k from adj) select u, v from r where k <= 5")
@@ -230,7 +230,12 @@ def _(g: Graph):
     return graph.neighbour_sample(graph.adjacency(g.edges), 5, SEED)
 
 
-@query("sampled_hops", "sim")
+NEXT_SHUFFLE = f"(({{}} * 2654435761 + {(SEED + 1) * 97}) % 4294967296)"
+
+
+@query("sampled_hops", "sim", ADJ + f"""h0 as (select u, v from (select u, v, row_number() over (partition by u order by {SHUFFLE.format('v')}, v) k from adj where u in (select node from nodes where node % 50 = 0)) where k <= 5),
+h1 as (select u, v from (select u, v, row_number() over (partition by u order by {NEXT_SHUFFLE.format('v')}, v) k from adj where u in (select v from h0)) where k <= 5)
+select 0 hop, u, v from h0 union all select 1, u, v from h1""")
 def _(g: Graph):
     return graph.sampled_hops(g.nodes.where("node % 50 = 0"), graph.adjacency(g.edges), [5, 5], SEED)
 
@@ -602,7 +607,7 @@ def _(g: Graph):
     return diagnostics.modularity(diagnostics.primary(g.nodes, _part(g)), graph.undirected_edges(g.edges))
 
 
-@query("content_hash", "sim")
+@query("content_hash", "sim", "x as (select distinct c, n node from m), y as (select sum(cast('0x' || substr(sha256(c || ':' || node), 1, 14) as bigint)) s, count(*) n from x) select substr(sha256(n || ':' || cast(coalesce(s, 0) as varchar)), 1, 16) hash from y")
 def _(g: Graph):
     return diagnostics.content_hash(g.membership)
 

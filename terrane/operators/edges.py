@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..durable import durable
 from ..functions.vectors import cosine
 from .graph import dense_index
 
@@ -132,19 +133,23 @@ def score_threshold(scores: DataFrame, share: float) -> DataFrame:
     """One row ``threshold``: 0 if share < 0; else the lower score at the widest gap among all scores (share 0) or among the
     top ``floor(share * rows)`` + 1 of them.  One or no score: 0.
 
-    Scores are as many as linked community pairs; only their distinct values are ordered.
+    Distinct scores may be as many as linked community pairs: they are sorted in ranges, sums and gaps are found within ranges,
+    and only a row for each range meets the others.
     """
     spark = scores.sparkSession
     if share < 0:
         return spark.range(1).select(F.lit(0.0).alias("threshold"))
-    values = scores.groupBy("score").agg(F.count(F.lit(1)).alias("k"))
-    n = scores.agg(F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("score"))
-    ranked = values.withColumn("upto", F.sum("k").over(down)).crossJoin(F.broadcast(n))
+    values = scores.groupBy("score").agg(F.count(F.lit(1)).alias("k")).repartitionByRange(F.desc("score")).sortWithinPartitions(F.desc("score"))
+    values = durable(values.withColumn("__p", F.spark_partition_id()))
+    ranges = values.groupBy("__p").agg(F.sum("k").alias("__k"), F.max("score").alias("__top"))
+    over = Window.orderBy("__p")  # a row for each range
+    ranges = ranges.select("__p", (F.sum("__k").over(over) - F.col("__k")).alias("__before"), F.lead("__top").over(over).alias("__below"), F.sum("__k").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    down = Window.partitionBy("__p").orderBy(F.desc("score"))
+    ranked = values.join(F.broadcast(ranges), "__p").withColumn("upto", F.sum("k").over(down) + F.col("__before")).withColumn("lower", F.coalesce(F.lead("score").over(down), F.col("__below")))
+    gaps = ranked.where("lower is not null").withColumn("gap", F.col("score") - F.col("lower"))
     if share > 0:
-        ranked = ranked.where((F.col("upto") - F.col("k")) <= F.greatest(F.floor(F.col("n") * share), F.lit(1)))
-    gaps = ranked.withColumn("gap", F.lead("score").over(Window.orderBy("score")) - F.col("score")).where("gap is not null")
-    return gaps.agg(F.coalesce(F.max_by("score", F.struct(F.col("gap"), -F.col("score"))), F.lit(0.0)).alias("threshold"))
+        gaps = gaps.where(F.col("upto") <= F.greatest(F.floor(F.col("n") * share), F.lit(1)))  # the lower score's rank
+    return gaps.agg(F.coalesce(F.max_by("lower", F.struct(F.col("gap"), -F.col("lower"))), F.lit(0.0)).alias("threshold"))
 
 
 def mapped_graph(scores: DataFrame, mapped_nodes: DataFrame, threshold: DataFrame) -> tuple[DataFrame, DataFrame]:

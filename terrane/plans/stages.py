@@ -14,7 +14,8 @@ from ..config import EngineConfig
 from ..durable import durable
 from ..graph import Graph
 from ..operators import detect, diagnostics, edges, features, labels, masks, models, overlap, unlearn
-from ..operators.graph import adjacency, representations
+from ..operators.graph import adjacency, dense_index, representations
+from ..operators.ranks import KEY_BITS, first_rows
 
 
 @dataclass
@@ -58,19 +59,19 @@ def coarse_to_fine(graph: Graph, config: EngineConfig, seed: int, base: Callable
 
 def negative_pairs(nodes: DataFrame, adj: DataFrame, count: int, seed: int, rounds: int = 32) -> DataFrame:
     """``u, v``: up to ``count`` seeded pairs of different nodes without an edge; fewer if the rounds don't find as many."""
-    index = nodes.select("node").distinct().toPandas()["node"].sort_values().to_numpy()
-    spark, rng, got = nodes.sparkSession, np.random.default_rng(seed), None
-    if len(index) < 2:
+    index = durable(dense_index(nodes, "node", "i"))
+    n, spark, got = index.count(), nodes.sparkSession, None
+    if n < 2:
         return adj.limit(0)
-    for _ in range(rounds):
-        picks = rng.integers(0, len(index), (2 * count, 2))
-        rows = spark.createDataFrame([(int(index[a]), int(index[b])) for a, b in picks if a != b], "u long, v long")
-        fresh = rows.distinct().join(adj, ["u", "v"], "left_anti")
-        got = fresh if got is None else got.union(fresh).distinct()
-        got = durable(got)
+    for k in range(rounds):
+        pick = lambda side: F.pmod(F.xxhash64("id", F.lit(side), F.lit(k), F.lit(seed)), F.lit(n)).alias(side)  # noqa: B023, E731
+        picks = spark.range(2 * count).select(pick("a"), pick("b")).where("a <> b").distinct()
+        rows = picks.join(index.toDF("u", "a"), "a").join(index.toDF("v", "b"), "b").select("u", "v")
+        fresh = rows.join(adj, ["u", "v"], "left_anti")
+        got = durable(fresh if got is None else got.union(fresh).distinct())
         if got.count() >= count:
             break
-    return got.orderBy(F.xxhash64("u", "v"), "u", "v").limit(count)
+    return first_rows(got.withColumn("__tie", F.struct("u", "v")), F.pmod(F.xxhash64("u", "v"), F.lit(1 << KEY_BITS)), "__tie", count).select("u", "v")
 
 
 def encoder_blocks(config: EngineConfig):

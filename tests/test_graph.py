@@ -8,12 +8,14 @@ import pytest
 from tests.graphs import both, clique_ring, edges_df, members_df, nodes_df, random_case, rows
 from terrane.config import EngineConfig
 from terrane.graph import Graph
-from terrane.operators import detect, diagnostics, graph, layers, local, masks, models, overlap, unlearn
+from terrane.operators import detect, diagnostics, graph, layers, local, masks, models, overlap, ranks, unlearn
 from terrane.plans import report, stages
 from terrane.sources import files
 from terrane.streaming import deletions
 
-SMOKE = {0: [0, 1, 2], 1: [2, 3], 2: [4]}
+#: Ten nodes: one in two communities, one in none, one alone.
+PARTS = {0: [0, 3, 5], 1: [1, 3], 2: [2, 4, 6, 7], 3: [8]}
+LABELS = [0, 1, 1, 0, 2, 0, 1, 1, 2, 2]
 
 
 def test_adjacency_and_degrees(spark):
@@ -51,28 +53,43 @@ def test_conductance(spark):
 
 
 def test_modularity(spark):
-    n, pairs, of = clique_ring(6, 8)
+    n, pairs, of = clique_ring(7, 5)
     a = spark.createDataFrame([(u, of[u]) for u in range(n)], "node long, community long")
-    assert diagnostics.modularity(a, graph.undirected_edges(edges_df(spark, pairs))).first()[0] == pytest.approx(0.798851, abs=1e-6)
+    inside, all_ = sum(of[x] == of[y] for x, y in pairs), len(pairs)
+    want = inside / all_ - sum((sum((of[x] == c) + (of[y] == c) for x, y in pairs) / (2 * all_)) ** 2 for c in range(7))
+    assert diagnostics.modularity(a, graph.undirected_edges(edges_df(spark, pairs))).first()[0] == pytest.approx(want)
 
 
 def test_summary(spark):
-    nodes, m = nodes_df(spark, 6, label=[0, 0, 1, 1, 2, 2]), members_df(spark, SMOKE)
+    nodes, m = nodes_df(spark, 10, label=LABELS), members_df(spark, PARTS)
     r = diagnostics.summary(nodes, m).first()
-    assert (r["coverage"], r["compression"], r["overlapping_fraction"]) == pytest.approx((5 / 6, 0.5, 1 / 6))
-    assert (r["memberships_mean"], r["memberships_max"], r["singletons"], r["up_to_two"]) == (pytest.approx(1.2), 2, 1, 2)
-    assert diagnostics.label_purity(nodes, m).first()[0] == pytest.approx((2 / 3 + 1 + 1) / 3)
+    of = [u for us in PARTS.values() for u in us]
+    assert (r["coverage"], r["compression"], r["overlapping_fraction"]) == pytest.approx((len(set(of)) / 10, len(PARTS) / 10, 1 / 10))
+    assert (r["memberships_mean"], r["memberships_max"], r["singletons"], r["up_to_two"]) == (pytest.approx(len(of) / len(set(of))), 2, 1, 2)
+    shares = [max(votes.count(x) for x in votes) / len(votes) for votes in ([LABELS[u] for u in us] for us in PARTS.values())]
+    assert diagnostics.label_purity(nodes, m).first()[0] == pytest.approx(sum(shares) / len(shares))
     assert "coverage" in diagnostics.describe(r.asDict())
     assert diagnostics.content_hash(m).first() == diagnostics.content_hash(m.repartition(3)).first()
 
 
 def test_deletion(spark):
-    m = members_df(spark, SMOKE)
-    after, index = unlearn.remove_nodes(m, spark.createDataFrame([(2,)], "node long"))
-    assert rows(after) == [(0, 0), (0, 1), (1, 3), (2, 4)]
-    after, index = unlearn.remove_nodes(m, spark.createDataFrame([(4,)], "node long"))
-    assert rows(index) == [(0, 0), (1, 1)]
-    assert rows(unlearn.affected(m, spark.createDataFrame([(2,)], "node long"))) == [(0,), (1,)]
+    m = members_df(spark, PARTS)
+    gone = lambda *us: spark.createDataFrame([(u,) for u in us], "node long")
+    after, index = unlearn.remove_nodes(m, gone(3))
+    assert rows(after) == sorted((c, u) for c, us in PARTS.items() for u in us if u != 3)
+    after, index = unlearn.remove_nodes(m, gone(1, 3))
+    assert rows(index) == [(0, 0), (2, 1), (3, 2)] and rows(after) == [(0, 0), (0, 5), (1, 2), (1, 4), (1, 6), (1, 7), (2, 8)]
+    assert rows(unlearn.affected(m, gone(3))) == [(0,), (1,)]
+
+
+@pytest.mark.parametrize("count", [0, 1, 137, 400, 999])
+def test_first_rows_of_a_seeded_order(spark, count):
+    keys = [(i, (i * 7919) % 300) for i in range(400)]  # ties, and keys close to one another
+    df = spark.createDataFrame(keys, "node long, k long")
+    want = [i for i, _ in sorted(keys, key=lambda r: (r[1], r[0]))[:count]]
+    assert sorted(r["node"] for r in ranks.first_rows(df, graph.F.col("k"), "node", count).collect()) == sorted(want)
+    far = ranks.first_rows(df, graph.F.col("k") * 14_000_000, "node", count)
+    assert sorted(r["node"] for r in far.collect()) == sorted(want) and far.columns == ["node", "k"]
 
 
 def test_request_sizes():
@@ -204,7 +221,7 @@ def test_files(spark, tmp_path):
     assert rows(files.read_features_csv(spark, str(tmp_path / "f.csv"))) == [(0, [0.0, 5.0]), (1, [1.0, 0.0])]
     store = files.ArtifactStore(spark, str(tmp_path / "store"))
     assert not store.has("membership", "a")
-    assert store.save("membership", "a", members_df(spark, SMOKE)).count() == 6 and store.has("membership", "a")
+    assert store.save("membership", "a", members_df(spark, PARTS)).count() == 10 and store.has("membership", "a")
     files.write_metrics(spark, str(tmp_path / "m"), {"stage": "train", "x": 1})
     assert json.loads(json.dumps(files.read_metrics(spark, str(tmp_path / "m")).first().asDict()))["x"] == 1
 
@@ -212,12 +229,12 @@ def test_files(spark, tmp_path):
 def test_deletion_feed(spark, tmp_path):
     root, feed = str(tmp_path / "m"), tmp_path / "requests"
     feed.mkdir()
-    members_df(spark, SMOKE).write.parquet(deletions.version_path(root, 0))
+    members_df(spark, PARTS).write.parquet(deletions.version_path(root, 0))
     (feed / "1.json").write_text('{"node": 2, "request_id": "a"}\n')
     deletions.apply_feed(spark, str(feed), root, str(tmp_path / "cp")).awaitTermination(60)
     (feed / "2.json").write_text('{"node": 4, "request_id": "b"}\n')
     deletions.apply_feed(spark, str(feed), root, str(tmp_path / "cp")).awaitTermination(60)
-    assert rows(deletions.latest(spark, root)[1]) == [(0, 0), (0, 1), (1, 3)]
+    assert rows(deletions.latest(spark, root)[1]) == [(c, u) for c, us in PARTS.items() for u in us if u not in (2, 4)]
 
 
 @pytest.mark.parametrize("seed", range(2))

@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 
 from tests.graphs import both, clique_ring, edges_df, members_df, nodes_df, random_case, rows
-from terrane.operators import edges, features, labels
+from terrane.operators import edges, features, labels, masks
 
-SMOKE = {0: [0, 1, 2], 1: [2, 3], 2: [4]}
+PARTS = {0: [0, 3, 5], 1: [1, 3], 2: [2, 4, 6, 7], 3: [8]}
 
 
 def brute_counts(pairs, c2n):
@@ -58,9 +58,11 @@ def test_scores_match_plain_python(spark, seed):
 
 
 def test_closed_form_score(spark):
-    m = members_df(spark, {0: [0, 1], 1: [2, 3]})
-    e = edges_df(spark, [(0, 2), (1, 3), (2, 0), (3, 1)])
-    assert as_dict(edges.score_edges(edges.edge_counts(e, m), m, 0)) == pytest.approx({(0, 1): 2.5, (1, 0): 2.5})
+    """Two communities of three, joined by two edges one way and one the other: s = 2, degrees 2 and 2, union 6."""
+    m = members_df(spark, {0: [0, 1, 2], 1: [3, 4, 5]})
+    e = edges_df(spark, [(0, 3), (1, 5), (4, 2), (0, 1)])
+    want = (2 / math.sqrt(2)) * (2 / math.sqrt(2)) + 2 / 6
+    assert as_dict(edges.score_edges(edges.edge_counts(e, m), m, 0)) == pytest.approx({(0, 1): want, (1, 0): want})
 
 
 def test_one_way_edges_by_reduction(spark):
@@ -71,16 +73,16 @@ def test_one_way_edges_by_reduction(spark):
 
 
 def test_ring_scores(spark):
-    n, pairs, of = clique_ring(6, 8)
-    m = members_df(spark, {c: [u for u in range(n) if of[u] == c] for c in range(6)})
-    counts = edges.edge_counts(edges_df(spark, both(pairs)), m)
-    for method, want in ((0, 0.5625), (1, 0.377965), (2, 0.499827), (3, 0.0625)):
-        got = as_dict(edges.score_edges(counts, m, method))
-        assert len(got) == 12 and all(v == pytest.approx(want, abs=1e-6) for v in got.values())
+    n, pairs, of = clique_ring(5, 7)
+    c2n = {c: [u for u in range(n) if of[u] == c] for c in range(5)}
+    counts = edges.edge_counts(edges_df(spark, both(pairs)), members_df(spark, c2n))
+    for method in range(4):
+        want = brute_scores(brute_counts(both(pairs), c2n), c2n, method, "source")
+        assert len(want) == 10 and as_dict(edges.score_edges(counts, members_df(spark, c2n), method)) == pytest.approx(want)
 
 
 def test_bad_options(spark):
-    m = members_df(spark, SMOKE)
+    m = members_df(spark, PARTS)
     counts = edges.edge_counts(edges_df(spark, [(0, 3)]), m)
     with pytest.raises(ValueError):
         edges.score_edges(counts, m, 7)
@@ -88,13 +90,30 @@ def test_bad_options(spark):
         edges.score_edges(counts, m, 0, "mean")
 
 
+def widest_gap(scores, share):
+    xs = sorted(scores, reverse=True)
+    xs = sorted(set(xs if not share else [x for x in set(xs) if xs.index(x) <= max(int(share * len(xs)), 1)]))
+    gaps = [(b - a, -a) for a, b in zip(xs, xs[1:])]
+    return -max(gaps)[1] if gaps else 0.0
+
+
 def test_thresholds(spark):
     df = lambda xs: spark.createDataFrame([(0, 1, float(x)) for x in xs], "src_c long, dst_c long, score double")
     at = lambda xs, share: edges.score_threshold(df(xs), share).first()[0]
-    assert at([0.1, 0.2, 5.0], -1) == 0.0
-    assert at([0.1, 0.15, 0.2, 5.0, 5.1], 0) == 0.2
-    assert at([0.3], 0) == 0.0
-    assert edges.score_threshold(df([1.0]).limit(0), 0).first()[0] == 0.0
+    rng = np.random.default_rng(8)
+    cases = [[0.7], [2.0, 2.0], rng.integers(0, 40, 60).tolist(), rng.normal(5, 1, 80).round(2).tolist(), [1, 1, 1, 4, 9, 9, 16]]
+    assert at(cases[2], -1) == 0.0 and edges.score_threshold(df([1.0]).limit(0), 0).first()[0] == 0.0
+    for xs in cases:
+        for share in (0, 0.1, 0.5):
+            assert at(xs, share) == pytest.approx(widest_gap([float(x) for x in xs], share)), (xs, share)
+
+
+def test_no_plan_gathers_scores_or_ids_in_one_task(spark):
+    df = spark.range(1000).selectExpr("id src_c", "id + 1 dst_c", "id * 0.5 score")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit" not in plan(masks.first_by_hash(df.selectExpr("src_c node"), "node", 10**6, 3))
+    held = plan(masks.first_by_hash(df.selectExpr("src_c node"), "node", 200, 3))
+    assert "GlobalLimit 200" not in held  # only the rows at the cut are sorted
 
 
 def test_adam_fold_matches_loop(spark):
@@ -109,9 +128,10 @@ def test_adam_fold_matches_loop(spark):
 def test_majority_and_elbow(spark):
     votes = spark.createDataFrame([(0, x) for x in (3, 1, 3, 2, 3)] + [(1, x) for x in (5, 2, 5, 2)] + [(2, 7)], "community long, label int")
     assert rows(labels.majority(votes)) == [(0, 3), (1, 2), (2, 7)]
-    dist = spark.createDataFrame([(0, i, 0, d) for i, d in enumerate([0.1, 0.15, 0.2, 5.0, 5.1])] + [(1, 9, 0, 3.0)], "community long, node long, label int, distance double")
-    assert rows(labels.elbows(dist)) == [(0, 0.2), (1, None)]
-    assert labels.voters(dist).where("community = 0").count() == 3
+    far = [0.4, 0.9, 1.1, 1.2, 3.6, 3.7, 4.0]
+    dist = spark.createDataFrame([(0, i, 0, d) for i, d in enumerate(far)] + [(1, 9, 0, 2.5)], "community long, node long, label int, distance double")
+    assert rows(labels.elbows(dist)) == [(0, widest_gap(far, 0)), (1, None)]
+    assert labels.voters(dist).where("community = 0").count() == 4
 
 
 def test_pca_small_is_mean_and_large_is_bounded(spark):
