@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("repeated passages", cut_repeats), ("decontamination", drop_leaks), ("packing", pack)]
 
-#: Learned scores, MinHash and the tokenizer have no SQL; the tests hold each stage against a brute-force version.
+#: Learned scores, MinHash and the tokenizer have no SQL; the tests hold each stage against a brute-force version or planted rows.
 ORACLE_SQL = None
 
 
