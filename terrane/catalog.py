@@ -607,6 +607,12 @@ def _(g: Graph):
     return diagnostics.modularity(diagnostics.primary(g.nodes, _part(g)), graph.undirected_edges(g.edges))
 
 
+@query("partition_audit", "sim")
+def _(g: Graph):
+    """A test holds the row against its parts, each of which has its own SQL."""
+    return stages.audit_membership(g, g.membership)
+
+
 @query("content_hash", "sim", "x as (select distinct c, n node from m), y as (select sum(cast('0x' || substr(sha256(c || ':' || node), 1, 14) as bigint)) s, count(*) n from x) select substr(sha256(n || ':' || cast(coalesce(s, 0) as varchar)), 1, 16) hash from y")
 def _(g: Graph):
     return diagnostics.content_hash(g.membership)
@@ -711,6 +717,28 @@ def _(g: Graph):
     return layers.gat_layer(g.nodes, g.edges, WEIGHTS, [(j + 1) / 10 for j in range(4)], [(2 - j) / 10 for j in range(4)])
 
 
+def _hashed_sql(matrix: int, rows: str, width: int) -> str:
+    return f"(('0x' || substr(md5('{SEED}:{matrix}:' || {rows} || ':' || j), 1, 8))::bigint / 4294967296.0::double * 2 - 1) * sqrt(6 / {64 + width}.0::double)"
+
+
+NORMED = ",\nnm as (select node, sqrt(sum(x * x)) q from vx group by node) select node, list(round(x / case when q > 0 then q else 1 end, 6) order by j) feat from vx join nm using (node) group by node"
+
+
+@query("random_embedding_gcn", "sim", FEATS + "wt as (select i, j, " + _hashed_sql(0, "i", 16) + " w from range(0, 64) a(i), range(0, 16) b(j)),\nhp as (select node, j, sum(x * w) h from fx join wt using (i) group by node, j),\no as (select src, count(*) k from edges group by src), i2 as (select dst, count(*) k from edges group by dst),\nag as (select e.dst node, j, sum(h / sqrt(o.k::double) / sqrt(i2.k::double)) s from edges e join hp on hp.node = e.src join o on o.src = e.src join i2 on i2.dst = e.dst group by e.dst, j),\nvx as (select node, j, coalesce(s, 0) x from (select node, j from nodes, range(0, 16) t(j)) left join ag using (node, j))" + NORMED)
+def _(g: Graph):
+    return layers.random_embedding(g.nodes, g.edges, "GCN", 16, SEED)
+
+
+@query("random_embedding_sage", "sim", FEATS + "wt as (select i, j, " + _hashed_sql(0, "i", 16) + " w, " + _hashed_sql(1, "i", 16) + " v from range(0, 64) a(i), range(0, 16) b(j)),\nhp as (select node, j, sum(x * w) h, sum(x * v) g from fx join wt using (i) group by node, j),\nag as (select e.dst node, j, avg(g) s from edges e join hp on hp.node = e.src group by e.dst, j),\nvx as (select node, j, h + coalesce(s, 0) x from hp left join ag using (node, j))" + NORMED)
+def _(g: Graph):
+    return layers.random_embedding(g.nodes, g.edges, "SAGE", 16, SEED)
+
+
+@query("random_embedding_communities", "sim")
+def _(g: Graph):
+    return detect.embedding_communities(g.nodes, g.edges, SEED, k=30, backbone="GCN")
+
+
 @query("class_count", "sim", "x as (select max(label) + 1 k from nodes) select cast(k as bigint) classes from x")
 def _(g: Graph):
     return layers.class_count(g.nodes)
@@ -733,6 +761,17 @@ def _(g: Graph):
     return models.train_grid(rows.sparkSession, mapped, 10, [(b, s, 0.01, 0.001, 40) for b in models.BACKBONES for s in (0, 1)])
 
 
+@query("model_posteriors", "sim")
+def _(g: Graph):
+    """Posteriors of a network trained on edges that count by their scores, from its weights as they are kept in a table."""
+    rows, f = _mean(g)
+    nodes = f.join(labels.majority(rows), "community").join(masks.mapping_masks(_community_nodes(g), 0.4, SEED), "community")
+    mapped = models.Mapped.of(nodes, _scores(g), weighted=True)
+    fitted = models.fit(mapped, "SAGE", 10, SEED, 0.01, 0.001, 40)
+    kept = models.read_weights(models.weights_table(rows.sparkSession, fitted["params"]))
+    return models.posterior_table(rows.sparkSession, mapped, models.predict(mapped, "SAGE", kept))
+
+
 @query("engine_stages", "sim")
 def _(g: Graph):
     """Partition, train and delete, end to end: a row for each stage."""
@@ -761,6 +800,11 @@ def _(spark: SparkSession, sf_dir: str):
     return report.mean_std(_runs(spark, sf_dir), ["dataset", "variant"], "score")
 
 
+@query("metric_table", None, VARIANTS + " select dataset, variant, count(*) runs, round(avg(score), 6) score_mean, round(stddev_pop(score), 6) score_std, round(avg(seed), 6) seed_mean, round(stddev_pop(seed), 6) seed_std from v group by dataset, variant")
+def _(spark: SparkSession, sf_dir: str):
+    return report.metric_table(_runs(spark, sf_dir), ["dataset", "variant"], ["score", "seed"])
+
+
 @query("seed_spread", None, VARIANTS + ", s as (select dataset, variant, seed, avg(score) a from v group by all) select dataset, variant, round(max(a) filter (seed = 0), 6) seed_0, round(max(a) filter (seed = 1), 6) seed_1, round(max(a) filter (seed = 2), 6) seed_2, round(max(a) - min(a), 6) spread from s group by dataset, variant")
 def _(spark: SparkSession, sf_dir: str):
     return report.seed_spread(_runs(spark, sf_dir), ["dataset", "variant"], "score", [0, 1, 2])

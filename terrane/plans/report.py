@@ -34,6 +34,31 @@ def mean_std(runs: DataFrame, by: list[str], metric: str) -> DataFrame:
     return ok.groupBy(*by).agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"), F.count(F.lit(1)).alias("runs"))
 
 
+def metric_table(runs: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """``by..., runs, <metric>_mean, <metric>_std...``: population deviation; null and NaN values of a metric are left out."""
+    ok = {m: F.when(~F.isnan(F.col(m).cast("double")), F.col(m)) for m in metrics}
+    cols = [f(ok[m]).alias(f"{m}_{name}") for m in metrics for f, name in ((F.avg, "mean"), (F.stddev_pop, "std"))]
+    return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), *cols)
+
+
+def utility_table(runs: DataFrame, by: tuple[str, ...] = ("dataset", "method")) -> DataFrame:
+    """Scores of finished runs, before and after their deletion."""
+    return metric_table(finished(runs), list(by), ["macro_f1", "accuracy", "unlearned_macro_f1"])
+
+
+def efficiency_table(runs: DataFrame, by: tuple[str, ...] = ("dataset", "method")) -> DataFrame:
+    """Seconds of finished runs' phases, and how many times a deletion is faster than partition, mapping and training anew."""
+    anew, again = F.col("partition_s") + F.col("mapping_s") + F.col("train_s"), F.col("update_s") + F.col("retrain_s")
+    rows = finished(runs).withColumn("speedup", F.when(again > 0, anew / again))
+    return metric_table(rows, list(by), ["partition_s", "mapping_s", "train_s", "update_s", "retrain_s", "speedup"])
+
+
+def partition_table(runs: DataFrame, by: tuple[str, ...] = ("dataset", "method")) -> DataFrame:
+    """Communities of finished runs, and the share of all runs that failed."""
+    failed = runs.groupBy(*by).agg(F.avg(F.coalesce(F.col("failed"), F.lit(False)).cast("int")).alias("failed"))
+    return failed.join(metric_table(finished(runs), list(by), ["communities", "partition_s"]), list(by), "left")
+
+
 def seed_spread(runs: DataFrame, by: list[str], metric: str, seeds: list[int]) -> DataFrame:
     """``by..., seed_<n>..., spread``: the metric's mean for each seed and the range between them."""
     wide = runs.groupBy(*by).pivot("seed", seeds).agg(F.avg(metric))

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..durable import durable
 from ..graph import Graph
 from ..operators import detect, diagnostics, edges, features, labels, masks, models, overlap, unlearn
-from ..operators.graph import adjacency, dense_index, representations
+from ..operators.graph import adjacency, dense_index, representations, undirected_edges
 from ..operators.ranks import KEY_BITS, first_rows
+from ..sources.files import ArtifactStore
 
 
 @dataclass
@@ -102,7 +103,9 @@ def detect_communities(graph: Graph, config: EngineConfig, seed: int) -> DataFra
         return coarse_to_fine(graph, config, seed, encoder_blocks(config))
     if name == "louvain":
         return detect.louvain(graph.nodes, graph.edges, seed, config.louvain_resolution)
-    by_name = {"slpa": detect.speaker_listener, "oslom": detect.dense_label_propagation, "lpa": detect.label_propagation, "nikm": detect.embedding_communities}
+    if name == "nikm":
+        return detect.embedding_communities(graph.nodes, graph.edges, seed, backbone=config.target_model)
+    by_name = {"slpa": detect.speaker_listener, "oslom": detect.dense_label_propagation, "lpa": detect.label_propagation}
     return by_name[name](graph.nodes, graph.edges, seed)
 
 
@@ -142,7 +145,21 @@ def mapped_scores(graph_edges: DataFrame, membership: DataFrame, feats: DataFram
     return edges.score_edges(counts, membership, config.test_edge_method, "source")
 
 
-def partition(graph: Graph, config: EngineConfig) -> Mapping:
+#: Kinds of the store that hold the tables of a Mapping.
+MAPPING_KINDS = {"membership": "membership", "nodes": "mapped_nodes", "scores": "mapped_edges", "masks": "masks"}
+
+
+def save_mapping(store: ArtifactStore, run_id: str, mapping: Mapping) -> None:
+    for name, kind in MAPPING_KINDS.items():
+        store.save(kind, run_id, getattr(mapping, name))
+
+
+def load_mapping(store: ArtifactStore, run_id: str) -> Mapping:
+    return Mapping(**{name: store.load(kind, run_id) for name, kind in MAPPING_KINDS.items()})
+
+
+def partition(graph: Graph, config: EngineConfig, store: ArtifactStore | None = None) -> Mapping:
+    """The mapping of a healthy partition; a store gets its tables, the options and a row for each attempt."""
     began = time.time()
     m, attempts = checked_communities(graph, config)
     found = time.time()
@@ -152,7 +169,12 @@ def partition(graph: Graph, config: EngineConfig) -> Mapping:
     scores = durable(mapped_scores(graph.edges, m, feats, config))
     split = durable(masks.mapping_masks(nodes, config.test_ratio, config.random_seed))
     report = {"stage": "partition", "run_id": config.run_id(), "attempts": attempts, "partition_s": found - began, "mapping_s": time.time() - found}
-    return Mapping(m, nodes, scores, split, report)
+    mapping = Mapping(m, nodes, scores, split, report)
+    if store:
+        save_mapping(store, config.run_id(), mapping)
+        store.save("summary", config.run_id(), store.spark.createDataFrame([Row(**x) for x in attempts]))
+        store.save("params", config.run_id(), store.spark.createDataFrame([(k, str(v)) for k, v in asdict(config).items()], "option string, value string"))
+    return mapping
 
 
 def deployed_graph(mapping: Mapping, split: DataFrame, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
@@ -162,21 +184,35 @@ def deployed_graph(mapping: Mapping, split: DataFrame, config: EngineConfig) ->
     return edges.drop_unreached(nodes, kept)
 
 
-def _trained(graph: Graph, mapping: Mapping, split: DataFrame, config: EngineConfig, stage: str) -> dict:
+def _trained(graph: Graph, mapping: Mapping, split: DataFrame, config: EngineConfig, stage: str, store: ArtifactStore | None = None) -> dict:
+    """The report of a trained model; a store gets its weights and its posteriors on the mapped nodes."""
     began = time.time()
-    mapped = models.Mapped.of(*deployed_graph(mapping, split, config))
+    mapped = models.Mapped.of(*deployed_graph(mapping, split, config), weighted=config.use_edge_weight)
     built = time.time()
     classes = int(graph.nodes.agg(F.max("label")).first()[0]) + 1
     got = models.fit(mapped, config.target_model, classes, config.random_seed, config.train_lr, config.train_weight_decay, config.num_epochs)
+    report = {"graph_s": built - began, "train_s": time.time() - built}
     got.pop("pred")
-    return {"stage": stage, "run_id": config.run_id(), **got, "graph_s": built - began, "train_s": time.time() - built}
+    params, posteriors = got.pop("params"), got.pop("posteriors")
+    if store:
+        name = after_deletion(config) if stage == "unlearn" else config.run_id()
+        store.save("weights", name, models.weights_table(store.spark, params))
+        store.save("posteriors", name, models.posterior_table(store.spark, mapped, posteriors))
+    return {"stage": stage, "run_id": config.run_id(), **got, **report}
 
 
-def train(graph: Graph, mapping: Mapping, config: EngineConfig) -> tuple[DataFrame, dict]:
+def after_deletion(config: EngineConfig) -> str:
+    """The run id under which a run's artifacts after its deletion are kept."""
+    return config.run_id() + "__unlearned"
+
+
+def train(graph: Graph, mapping: Mapping, config: EngineConfig, store: ArtifactStore | None = None) -> tuple[DataFrame, dict]:
     """(masks, report) of a model trained on the mapped graph."""
     held = masks.holdout(graph.nodes, config.test_ratio, config.random_seed)
     split = durable(masks.train_masks(mapping.membership, held, config.test_ratio, config.random_seed))
-    return split, _trained(graph, mapping, split, config, "train")
+    if store:
+        store.save("train_masks", config.run_id(), split)
+    return split, _trained(graph, mapping, split, config, "train", store)
 
 
 def delete(graph: Graph, mapping: Mapping, split: DataFrame, request: DataFrame, config: EngineConfig) -> tuple[Mapping, DataFrame]:
@@ -195,12 +231,59 @@ def delete(graph: Graph, mapping: Mapping, split: DataFrame, request: DataFrame,
     return Mapping(m, nodes, scores, unlearn.remap(mapping.masks, index)), unlearn.remap(split, index)
 
 
-def unlearn_nodes(graph: Graph, mapping: Mapping, split: DataFrame, config: EngineConfig, request: DataFrame | None = None) -> tuple[Mapping, dict]:
+def unlearn_nodes(graph: Graph, mapping: Mapping, split: DataFrame, config: EngineConfig, request: DataFrame | None = None, store: ArtifactStore | None = None) -> tuple[Mapping, dict]:
     """Apply a deletion request (a seeded one by default) and retrain."""
     if request is None:
         request = durable(masks.deletion_request(mapping.membership, split, config.unlearn_ratio, config.random_seed))
     began = time.time()
     after, kept = delete(graph, mapping, split, request, config)
     updated = time.time()
-    report = _trained(graph, after, masks.deployed_masks(kept, after.masks), config, "unlearn")
+    report = _trained(graph, after, masks.deployed_masks(kept, after.masks), config, "unlearn", store)
+    if store:
+        save_mapping(store, after_deletion(config), after)
+        store.save("request", config.run_id(), request)
     return after, report | {"update_s": updated - began, "deleted": request.count()}
+
+
+STAGES = ("partition", "train", "unlearn")
+
+
+def run_stage(stage: str, graph: Graph, config: EngineConfig, store: ArtifactStore) -> dict:
+    """One stage by name: it reads what the stages before it left in the store under the run's id, and gives its report."""
+    if stage not in STAGES:
+        raise ValueError(f"stage must be one of {STAGES}")
+    if stage == "partition":
+        return partition(graph, config, store).report
+    mapping = load_mapping(store, config.run_id())
+    if stage == "train":
+        return train(graph, mapping, config, store)[1]
+    return unlearn_nodes(graph, mapping, store.load("train_masks", config.run_id()), config, store=store)[1]
+
+
+def audit(graph: Graph, config: EngineConfig, with_edges: bool = False) -> DataFrame:
+    """One row on a detector's partition: structure, health, modularity, purity, hash, seconds; no retry, no error if unhealthy.
+
+    with_edges: the edge scores are made too, and timed apart.
+    """
+    began = time.time()
+    m = durable(detect_communities(graph, config, config.random_seed))
+    took = {"partition_s": time.time() - began}
+    if with_edges:
+        began = time.time()
+        took["edge_pairs"] = edges.score_edges(durable(edges.edge_counts(graph.edges, m)), m, config.test_edge_method, "source").count()
+        took["edge_mapping_s"] = time.time() - began
+    out = audit_membership(graph, m, config.partition_min_communities)
+    return out.select(F.lit(config.partition).alias("method"), F.lit(config.random_seed).cast("long").alias("seed"), "*", *[F.lit(v).alias(k) for k, v in took.items()])
+
+
+def audit_membership(graph: Graph, membership: DataFrame, min_communities: int = diagnostics.MIN_COMMUNITIES) -> DataFrame:
+    """One row: the summary, the health check (its ``uncovered`` as ``not_covered``), modularity of lowest communities, label purity where labels are, and the hash.
+
+    Every part is a single row, so they meet in joins without a key.
+    """
+    report = durable(diagnostics.summary(graph.nodes, membership))
+    out = report.crossJoin(diagnostics.health(report, min_communities).withColumnRenamed("uncovered", "not_covered"))
+    out = out.crossJoin(diagnostics.modularity(diagnostics.primary(graph.nodes, membership), undirected_edges(graph.edges)))
+    if "label" in graph.nodes.columns:
+        out = out.crossJoin(diagnostics.label_purity(graph.nodes, membership))
+    return out.crossJoin(diagnostics.content_hash(membership))

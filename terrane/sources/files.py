@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..graph import Graph
 from ..operators.graph import degrees, nodes_of
 
-ARTIFACTS = ("membership", "mapped_nodes", "mapped_edges", "masks", "graph_nodes", "graph_edges", "request", "reindex", "embedding", "weights", "posteriors", "params", "summary")
+ARTIFACTS = ("membership", "mapped_nodes", "mapped_edges", "masks", "graph_nodes", "graph_edges", "request", "reindex", "embedding", "weights", "posteriors", "params", "summary", "train_masks", "record")
 
 
 def read_edges_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -70,8 +70,13 @@ class ArtifactStore:
     def load(self, kind: str, run_id: str) -> DataFrame:
         return self.spark.read.parquet(self.path(kind, run_id))
 
+    def under(self, name: str) -> ArtifactStore:
+        """The store of one dataset."""
+        return ArtifactStore(self.spark, f"{self.root}/{name}")
+
     def has(self, kind: str, run_id: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(kind, run_id))
+        """Whether a whole table is there; a write that was cut short doesn't count."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(kind, run_id) + "/_SUCCESS")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def runs(self, kind: str) -> DataFrame:
