@@ -279,9 +279,12 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, wi
     release_shuffles(spark)
     said = searched.select(shard("doc_id"), F.explode(F.arrays_zip(F.col("hashes").alias("h"), F.col("phrases").alias("p"))).alias("x")).select("shard", F.col("x.h").alias("h"), F.col("x.p").alias("phrase"))
     parts = []
-    for k in range(SLICES):  # one after another, so that only one slice's shuffles are on disk; Spark splits a merge join's hot keys
+    for k in range(SLICES):  # one after another, so that only one slice's shuffles are on disk
         of_slice = F.pmod(F.col("h"), F.lit(SLICES)) == k
-        parts.append(materialize(said.where(of_slice).join(recurring.where(of_slice).hint("merge"), "h").groupBy("shard", "h", "phrase").agg(F.count(F.lit(1)).alias("n")), "said"))
+        # Counted by shard and words, which the join's order by hash doesn't serve: so Spark may split a hot hash's rows, and
+        # sums them in the join's own tasks before they move.  Equal words have equal hashes.
+        met = said.where(of_slice).join(recurring.where(of_slice).hint("merge"), "h")
+        parts.append(materialize(met.groupBy("shard", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h")).select("shard", "h", "phrase", "n"), "said"))
         release_shuffles(spark)
     said = reduce(DataFrame.union, parts)
     forget(searched, recurring)
