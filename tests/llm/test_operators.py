@@ -517,14 +517,47 @@ def test_leaks(spark, empty):
     ]
     docs = spark.createDataFrame(rows, DOCS)
     bench = spark.createDataFrame([(7, " ".join(item)), (7, " ".join(item)), (8, None), (9, ""), (10, "too short")], "item_id long, text string")
-    for block in (1 << 20, 64):
-        got = decontamination.find_leaks(docs, bench, block_bytes=block).collect()
+    for most in (decontamination.BROADCAST_SEEDS, 0):  # seeds broadcast, and shuffled
+        got = decontamination.find_leaks(docs, bench, broadcast_seeds=most).collect()
         assert sorted((r["doc_id"], r["item_id"], r["matched_words"]) for r in got) == [(0, 7, 30), (1, 7, 30), (6, 7, 30)]
-        kept = decontamination.drop_leaks(docs, bench, block_bytes=block)
+        kept = decontamination.drop_leaks(docs, bench, broadcast_seeds=most)
         assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5]
     assert decontamination.find_leaks(empty, bench).count() == 0 and decontamination.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_are_those_of_tiling_every_pair(spark):
+    """Random documents of shuffled, cut and repeated item pieces; copies, one id with two texts, null ids, clashing columns."""
+    rng = random.Random(21)
+    items = [(k % 7 if k else None, " ".join(rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(3, 40)))) for k in range(12)]
+    rows = []
+    for d in range(60):
+        out = []
+        for _ in range(rng.randint(0, 5)):
+            said = rng.choice(items)[1].split()
+            a = rng.randrange(len(said))
+            out += said[a : a + rng.randint(1, 25)] + ["z%d" % rng.randrange(9)] * rng.randint(0, 2)
+        rows.append((None if d == 5 else d // 2 if d < 8 else d, " ".join(out)))
+    rows += [(100, rows[9][1]), rows[9], (None, rows[9][1]), (101, None)]
+    want, leaking = collections.Counter(), 0
+    for doc_id, text in rows:
+        found = []
+        for item_id, said in set(items):
+            ids = {}
+            x, y = ([ids.setdefault(w, len(ids)) for w in decontamination.plain_words((t or "").encode())] for t in (text, said))
+            n = sum(t[2] for t in decontamination.tile(x, y))
+            if n and n >= 0.5 * len(y):
+                found.append((doc_id, item_id, n, len(y)))
+        want.update(found)
+        leaking += bool(found)
+    docs = spark.createDataFrame([(*r, 1, 2, b"", 3) for r in rows], "doc_id long, text string, item int, h int, digest binary, n_words int")
+    bench = spark.createDataFrame([(*r, 4, 5) for r in items + items[:3]], "item_id long, text string, doc_id int, n_words int")
+    for most in (decontamination.BROADCAST_SEEDS, 0):
+        got = collections.Counter((r["doc_id"], r["item_id"], r["matched_words"], r["item_words"]) for r in decontamination.find_leaks(docs, bench, broadcast_seeds=most).collect())
+        assert got == want and len(want) > 20
+        kept = decontamination.drop_leaks(docs, bench, broadcast_seeds=most)
+        assert kept.columns == docs.columns and kept.count() == len(rows) - leaking
+
+
 # --- 10 ------------------------------------------------------------------------------------------
 
 
