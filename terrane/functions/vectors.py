@@ -45,6 +45,17 @@ def rounded(a: str | Column, digits: int = 6) -> Column:
     return F.transform(_c(a), lambda x: F.round(x, digits))
 
 
+def round_half_away(x: Column, digits: int = 6) -> Column:
+    """A double to ``digits`` digits in binary arithmetic, halves away from zero, the sign of zero kept; what overflows stays.
+
+    ``F.round`` goes by the decimal digits and loses the sign of zero; DuckDB's ``round`` does as here.
+    """
+    scale = 10.0**digits
+    s, r = x * scale, F.rint(x * scale)
+    away = F.when((s - r == 0.5) & (s > 0), r + 1).when((s - r == -0.5) & (s < 0), r - 1).otherwise(r) / scale
+    return F.when(F.isnan(s) | (F.abs(s) == float("inf")), x).otherwise(away)
+
+
 def shuffle_key(node: str | Column, seed: int) -> Column:
     """Portable pseudo-random order of integer ids; ties are settled by the id."""
     return F.pmod(_c(node).cast("long") * F.lit(2654435761) + F.lit(seed * 97), F.lit(4294967296))
