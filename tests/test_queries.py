@@ -36,7 +36,7 @@ def test_rounding(spark):
         assert repr([r[0] for r in df.select(round_half_away(F.col("x"), digits)).collect()]) == repr(expected)
 
 
-@pytest.mark.parametrize("name", ["feature_mean", "feature_robust", "sage_layer", "propagate_1"])
+@pytest.mark.parametrize("name", ["feature_mean", "feature_robust", "gcn_layer", "sage_layer", "propagate_1"])
 def test_signs_of_zeros_are_those_of_the_sql(spark, tmp_path, name):
     rng = np.random.default_rng(1)
     write_vectors(tmp_path, np.tile(rng.normal(size=(12, 64)) * 1e-8, (3, 1)))
