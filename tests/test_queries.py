@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrane import catalog
 from terrane.functions.vectors import round_half_away
+from terrane.operators import layers
 
 
 def write_vectors(path, vectors):
@@ -42,3 +43,11 @@ def test_signs_of_zeros_are_those_of_the_sql(spark, tmp_path, name):
     write_vectors(tmp_path, np.tile(rng.normal(size=(12, 64)) * 1e-8, (3, 1)))
     got, expected = by_spark_and_sql(spark, tmp_path, name)
     assert got == expected and any("-0.0" in x for x in expected) == (name != "propagate_1")
+
+
+def test_signs_of_zeros_of_embeddings(spark, tmp_path):
+    """Pairs of equal vectors at right angles to a column of the weights, but for their rounding to floats."""
+    x, w = np.random.default_rng(2).normal(size=(12, 64)), layers.hashed_weights(64, 16, catalog.SEED)[:, 0]
+    write_vectors(tmp_path, np.tile(x - np.outer(x @ w, w) / (w @ w), (2, 1)))
+    got, expected = by_spark_and_sql(spark, tmp_path, "random_embedding_gcn")
+    assert got == expected and any("-0.0," in x for x in expected)
