@@ -6,7 +6,6 @@ sees; no operator keeps state in an executor's own folder, so a lost executor co
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -15,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..durable import release_shuffles
+
 #: Word pattern of the contracts: runs without ASCII white space.  ``bytes.split()`` cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of text in one Arrow batch; with very long texts a batch stays some tens of MB.
@@ -68,12 +69,6 @@ def forget(*tables: DataFrame) -> None:
     release_shuffles(tables[0].sparkSession)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Shuffle files go when the driver collects the plans that made them; ask for it between large steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_batches(spark: SparkSession) -> None:
     """Bound Arrow batches for plans that move whole texts to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

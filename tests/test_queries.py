@@ -7,9 +7,10 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tests.graphs import both, clique_ring, nodes_df
 from terrane import catalog
 from terrane.functions.vectors import round_half_away
-from terrane.operators import layers
+from terrane.operators import detect, layers
 
 
 def write_vectors(path, vectors):
@@ -51,3 +52,21 @@ def test_signs_of_zeros_of_embeddings(spark, tmp_path):
     write_vectors(tmp_path, np.tile(x - np.outer(x @ w, w) / (w @ w), (2, 1)))
     got, expected = by_spark_and_sql(spark, tmp_path, "random_embedding_gcn")
     assert got == expected and any("-0.0," in x for x in expected)
+
+
+def counted_edges(spark, pairs):
+    """Edges, and an accumulator of how many rows were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def one(pair):
+        made.add(1)
+        return pair
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(pairs, 2).map(one), "src long, dst long"), made
+
+
+def test_speaker_listener_makes_its_edges_once(spark):
+    pairs = both(clique_ring(4, 4)[1])
+    edges, made = counted_edges(spark, pairs)
+    assert detect.speaker_listener(nodes_df(spark, 16), edges, rounds=4).count() >= 16
+    assert made.value == len(pairs)
