@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..durable import durable
+from ..durable import durable, release_shuffles, written
 from ..functions.vectors import l2_normalise, shuffle_key
 from .components import connected_components
 
@@ -134,9 +134,9 @@ def conductance(blocks: DataFrame, adj: DataFrame) -> DataFrame:
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """``node, rank`` after a fixed number of rounds over distinct directed edges; nodes without an exit share theirs with all."""
-    e = edges.select("src", "dst").distinct()
+    e = written(edges.select("src", "dst").distinct(), "links")
     n = nodes.count()
-    out = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
+    out = durable(e.groupBy("src").agg(F.count(F.lit(1)).alias("k")))
     ranks = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
     for i in range(rounds):
         sent = ranks.join(out, F.col("node") == F.col("src"), "left").select("node", "rank", "k")
@@ -145,6 +145,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
         ranks = nodes.select("node").join(got, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(stuck)).select("node", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("g", F.lit(0.0)) + F.col("stuck") / n)).alias("rank"))
         if i % 2 == 1:
             ranks = durable(ranks)
+            release_shuffles(nodes.sparkSession)
     return ranks
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.graphs import both, clique_ring, nodes_df
 from terrane import catalog
 from terrane.functions.vectors import round_half_away
-from terrane.operators import detect, layers
+from terrane.operators import detect, layers, similarity
 
 
 def write_vectors(path, vectors):
@@ -70,3 +70,20 @@ def test_speaker_listener_makes_its_edges_once(spark):
     edges, made = counted_edges(spark, pairs)
     assert detect.speaker_listener(nodes_df(spark, 16), edges, rounds=4).count() >= 16
     assert made.value == len(pairs)
+
+
+def test_embedding_communities_makes_its_edges_once(spark):
+    pairs = both(clique_ring(4, 4)[1])
+    edges, made = counted_edges(spark, pairs)
+    nodes = nodes_df(spark, 16, feat=[[i % 4, i // 4] for i in range(16)])
+    assert detect.embedding_communities(nodes, edges, 7, k=4).count() >= 16
+    assert made.value == len(pairs)
+
+
+def test_similar_pairs_in_blocks(spark):
+    """Both orders of each pair, whatever blocks the rows fall into."""
+    x = np.random.default_rng(3).normal(size=(40, 4))
+    cosine = (x @ x.T) / np.outer(*[np.linalg.norm(x, axis=1)] * 2)
+    expected = sorted((i, j) for i in range(40) for j in range(40) if i != j and cosine[i, j] >= 0.3)
+    found = similarity.similar_pairs(nodes_df(spark, 40, feat=x.tolist()), 0.3, block_rows=9).collect()
+    assert sorted((r["a"], r["b"]) for r in found) == expected
