@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -102,6 +106,69 @@ def to_vectors(rows: DataFrame, key: str, name: str = "feat") -> DataFrame:
     return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias(name))
 
 
+SUM_ROWS = 8192  # nodes whose sums a task holds
+
+
+def neighbour_sums(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``dst, feat``: sum of the vectors (``src, feat``) over a node's in-edges, an edge's repeats counted.
+
+    Edges are dealt into cells by both ends.  A cell gets each vector that it needs once and keeps the sums of at most about
+    ``SUM_ROWS`` nodes, so neither an edge's vector nor its positions become rows, and a hub's edges are spread over cells.
+    """
+    blocks = max(4, -(-vectors.count() // SUM_ROWS))
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    links = edges.where("src is not null and dst is not null").select((deal("dst") * blocks + deal("src")).alias("cell"), "src", "dst")
+    known = links.select("cell", "src").distinct().join(vectors.where("feat is not null").select("src", "feat"), "src")
+    both = known.select("cell", "src", F.lit(None).cast("long").alias("dst"), "feat").union(links.select("cell", "src", F.col("dst").cast("long"), F.lit(None).cast("array<double>")))
+    names, types = ["dst", "feat"], [pa.int64(), pa.list_(pa.float64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, last, held, at, sums, width = None, None, None, {}, None, 0  # held: the vector of the source ``last``
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nodes = list(at)
+            for i in range(0, len(nodes), 1000):
+                yield pa.record_batch([pa.array(c, t) for c, t in zip((nodes[i : i + 1000], list(sums[i : i + 1000][: len(nodes) - i])), types)], names)
+
+        for b in batches:
+            cells, src = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.flatnonzero(np.diff(cells)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                if lo == hi:
+                    continue
+                if cells[lo] != cell:
+                    yield from out()
+                    cell, last, held, at, sums = cells[lo], None, None, {}, None
+                part, ids = b.slice(lo, hi - lo), src[lo:hi]
+                is_vector = part.column(2).is_null().to_numpy(zero_copy_only=False)
+                given = part.column(3).filter(pa.array(is_vector))
+                if len(given):
+                    width = len(given[0])
+                if not width:
+                    continue  # only sources without a vector so far
+                group = np.cumsum(np.diff(ids, prepend=ids[0] if last is None else last) != 0)
+                table = np.zeros((group[-1] + 1, width))
+                if held is not None:
+                    table[0] = held
+                np.add.at(table, group[is_vector], given.flatten().to_numpy().reshape(-1, width))
+                last, held = ids[-1], table[-1]
+                if is_vector.all():
+                    continue
+                to, inverse = np.unique(part.column(2).drop_null().to_numpy(), return_inverse=True)
+                row = np.array([at.setdefault(u, len(at)) for u in to.tolist()])
+                if sums is None or len(at) > len(sums):
+                    sums = np.concatenate([*([] if sums is None else [sums]), np.zeros((max(1024, len(at)), width))])
+                order = np.argsort(inverse, kind="stable")
+                starts = np.searchsorted(inverse[order], np.arange(len(to)))
+                sums[row] += np.add.reduceat(table[group[~is_vector][order]], starts)
+        yield from out()
+
+    dealt = both.repartition("cell").sortWithinPartitions("cell", "src", F.asc_nulls_first("dst"))
+    parts = dealt.mapInArrow(run, "dst long, feat array<double>")
+    total = lambda all_: F.transform(F.sequence(F.lit(0), F.size(F.element_at(all_, 1)) - 1), lambda i: F.aggregate(all_, F.lit(0.0), lambda s, v: s + v[i]))
+    return parts.groupBy("dst").agg(F.collect_list("feat").alias("parts")).select("dst", total(F.col("parts")).alias("feat"))
+
+
 def propagate(nodes: DataFrame, adj: DataFrame, steps: int) -> DataFrame:
     """``node, feat`` after ``steps`` multiplications by the symmetric-normalised adjacency with self-loops."""
     feats = nodes.select("node", "feat")

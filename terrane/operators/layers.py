@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalise
-from .graph import _vector_sum, to_vectors
+from .graph import _vector_sum, neighbour_sums, to_vectors
 
 Matrix = list[list[float]]
 
@@ -41,7 +41,7 @@ def _zeros(width: int) -> Column:
 
 
 def _filled(nodes: DataFrame, sums: DataFrame, width: int) -> DataFrame:
-    got = to_vectors(sums, "dst").withColumnRenamed("dst", "node")
+    got = sums.withColumnRenamed("dst", "node")
     return nodes.select("node").join(got, "node", "left").select("node", F.coalesce("feat", _zeros(width)).alias("feat"))
 
 
@@ -51,9 +51,9 @@ def _projection(weights: Matrix | None) -> Column:
 
 def _mean_in(nodes: DataFrame, edges: DataFrame, width: int) -> DataFrame:
     """``node, mean``: the mean of the in-neighbours' features, zeros without any."""
-    h = nodes.select(F.col("node").alias("src"), F.col("feat").alias("h"))
     k = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("k"))
-    sums = _vector_sum(edges.join(h, "src"), "dst", "h").join(k, "dst").select("dst", "pos", (F.col("x") / F.col("k")).alias("x"))
+    sums = neighbour_sums(edges, nodes.select(F.col("node").alias("src"), F.col("feat").cast("array<double>").alias("feat")))
+    sums = sums.join(k, "dst").select("dst", F.transform("feat", lambda x: x / F.col("k")).alias("feat"))
     return _filled(nodes, sums, width).withColumnRenamed("feat", "mean")
 
 
@@ -65,8 +65,8 @@ def gcn_layer(nodes: DataFrame, edges: DataFrame, weights: Matrix | None, width:
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("o"))
     into = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("i"))
     h = nodes.select(F.col("node").alias("src"), _projection(weights).alias("h")).join(out, "src")
-    sent = edges.join(h.select("src", F.transform("h", lambda x: x / F.sqrt("o")).alias("h")), "src")
-    sums = _vector_sum(sent, "dst", "h").join(into, "dst").select("dst", "pos", (F.col("x") / F.sqrt("i")).alias("x"))
+    sums = neighbour_sums(edges, h.select("src", F.transform("h", lambda x: x / F.sqrt("o")).alias("feat")))
+    sums = sums.join(into, "dst").select("dst", F.transform("feat", lambda x: x / F.sqrt("i")).alias("feat"))
     return _filled(nodes, sums, len(weights[0]) if weights else width)
 
 
@@ -87,7 +87,7 @@ def gat_layer(nodes: DataFrame, edges: DataFrame, weights: Matrix | None, left:
     e = e.join(top, "dst").select("dst", "h", F.exp(F.col("z") - F.col("top")).alias("a"))
     total = e.groupBy("dst").agg(F.sum("a").alias("all"))
     sums = _vector_sum(e.select("dst", F.transform("h", lambda x: x * F.col("a")).alias("h")), "dst", "h").join(total, "dst").select("dst", "pos", (F.col("x") / F.col("all")).alias("x"))
-    return _filled(nodes, sums, len(left))
+    return _filled(nodes, to_vectors(sums, "dst"), len(left))
 
 
 def hashed_weights(rows: int, cols: int, seed: int, matrix: int = 0) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.graphs import both, clique_ring, nodes_df
 from terrane import catalog
 from terrane.functions.vectors import round_half_away
-from terrane.operators import detect, layers, similarity
+from terrane.operators import detect, graph, layers, similarity
 
 
 def write_vectors(path, vectors):
@@ -87,3 +87,33 @@ def test_similar_pairs_in_blocks(spark):
     expected = sorted((i, j) for i in range(40) for j in range(40) if i != j and cosine[i, j] >= 0.3)
     found = similarity.similar_pairs(nodes_df(spark, 40, feat=x.tolist()), 0.3, block_rows=9).collect()
     assert sorted((r["a"], r["b"]) for r in found) == expected
+
+
+def test_sums_over_in_edges(spark, monkeypatch):
+    """Repeated edges and vectors, sources without a vector, and vectors that a batch cuts off from their edges."""
+    monkeypatch.setattr(graph, "SUM_ROWS", 5)
+    rng = np.random.default_rng(4)
+    x, pairs = rng.normal(size=(30, 3)), [tuple(p) for p in rng.integers(0, 40, size=(400, 2)).tolist()] + [(i, 7) for i in range(30)]
+    held = [*range(30), 3]
+    vectors = spark.createDataFrame([(i, x[i].tolist()) for i in held], "src long, feat array<double>")
+    expected = {}
+    for u, v in pairs:
+        for i in held:
+            if i == u:
+                expected[v] = expected.get(v, 0) + x[i]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["dst"]: r["feat"] for r in graph.neighbour_sums(edges, vectors).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(np.allclose(got.get(v, 0), s) for v, s in expected.items())
+    assert all(np.allclose(got[v], 0) for v in got.keys() - expected.keys())
+
+
+def test_wide_embeddings_make_no_row_for_a_position(spark):
+    """A plan with a row for each edge and position moves 128 times the edges."""
+    pairs = both(clique_ring(4, 4)[1])
+    out = layers.random_embedding(nodes_df(spark, 16), spark.createDataFrame(pairs, "src long, dst long"), "GCN", 128, 7)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "posexplode" not in plan and "mapinarrow" in plan
