@@ -57,6 +57,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """:func:`materialize`, and let Spark drop the shuffles behind it."""
+    out = materialize(df, name)
+    release_shuffles(df.sparkSession)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables from :func:`materialize` that no later plan reads."""
     for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
-from .common import forget, materialize, release_shuffles, text_batches, texts_of
+from .common import forget, materialize, release_shuffles, settled, text_batches, texts_of
 
 ROWS, MISSED = 3, 4e-4
 WORDS_REMEMBERED = 500_000
@@ -172,16 +172,16 @@ def cluster(docs: DataFrame, shingle_words: int = 5, percent: int = 80, tables:
     compared = _compared(stars, texts, shingle_words, percent)
     forget(buckets, texts)
     links = compared.where("linked").select("a", "x")
-    durable = lambda df: materialize(df, "components")
+    durable = lambda df: settled(df, "components")
     components = connected_components(links, durable)
-    more = materialize(_links_beside_leaders(compared, components, percent), "more-links")
+    more = settled(_links_beside_leaders(compared, components, percent), "more-links")
     if not more.isEmpty():
         components = connected_components(links.union(more), durable)
     forget(compared, more)
 
     labelled = classes.select("cid", "h1", "h2", "first").join(components.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_class = materialize(labelled.join(least, "component").select("h1", "h2", "component_id"), "by-class")
+    by_class = settled(labelled.join(least, "component").select("h1", "h2", "component_id"), "by-class")
     out = sketched.drop("minhashes").join(by_class, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -199,7 +199,7 @@ def _class_texts(docs: DataFrame, classes: DataFrame, buckets: DataFrame, width:
     needed = classes.join(buckets.select("cid").distinct(), "cid", "left_semi").select("cid", "h1", "h2", "first")
     firsts = needed.select("first").distinct()
     found = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["first"]), "left_semi").select("text").mapInArrow(run, "h1 long, h2 long, text string")
-    return materialize(found.join(needed.drop("first"), ["h1", "h2"]).select("cid", "text").dropDuplicates(["cid"]), "texts")
+    return settled(found.join(needed.drop("first"), ["h1", "h2"]).select("cid", "text").dropDuplicates(["cid"]), "texts")
 
 
 def _compared(stars: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -208,7 +208,7 @@ def _compared(stars: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     both = with_x.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")  # last, so that rows of one a follow each other
     rows = both.select("a", "x", "text_a", "text_x").mapInArrow(_compare(width), "a long, x long, size long, removed long, diff array<long>")
     rows = rows.withColumn("added", F.size("diff") - F.col("removed"))
-    return materialize(rows.withColumn("linked", 100 * (F.col("size") - F.col("removed")) >= percent * (F.col("size") + F.col("added"))), "compared")
+    return settled(rows.withColumn("linked", 100 * (F.col("size") - F.col("removed")) >= percent * (F.col("size") + F.col("added"))), "compared")
 
 
 def _across(parts: DataFrame) -> DataFrame:
@@ -220,8 +220,8 @@ def _across(parts: DataFrame) -> DataFrame:
     counts = parts.groupBy("a", "e", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("a", "e").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("of"), F.max_by("component", F.struct("n", "component")).alias("most")).where("of > 1")
     # Written, so that the join's two sides are plain exchanges, whose hot keys Spark can split.
-    rows = parts.drop("df", "most", "left").join(materialize(mixed.drop("of"), "mixed"), ["a", "e"]).withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("a", "x")))
-    return materialize(rows.where((~F.col("linked") & (F.col("left") >= F.col("least_open"))) | (F.col("left") >= F.col("least_any"))), "across")
+    rows = parts.drop("df", "most", "left").join(settled(mixed.drop("of"), "mixed"), ["a", "e"]).withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("a", "x")))
+    return settled(rows.where((~F.col("linked") & (F.col("left") >= F.col("least_open"))) | (F.col("left") >= F.col("least_any"))), "across")
 
 
 def _shared_differences(compared: DataFrame, components: DataFrame, percent: int) -> DataFrame:
@@ -235,10 +235,10 @@ def _shared_differences(compared: DataFrame, components: DataFrame, percent: int
     # With term(x) = percent * added + 100 * removed and over(x) = term(x) - slack, the bound on s is
     # (over(x) + term(y)) / (100 + percent).  Neither end differs in fewer than s elements, so its term is at least percent * s.
     own = own.withColumn("term", percent * F.col("added") + 100 * F.col("removed")).withColumn("over", F.col("term") - (100 - percent) * F.col("size"))
-    own = materialize(own.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")), "own")
+    own = settled(own.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")), "own")
     open_ = own.where("not linked").groupBy("a").agg(F.min("over").alias("least_over"))  # above 0
     open_ = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = own.join(materialize(open_, "open"), ["a", "salt"])
+    own = own.join(settled(open_, "open"), ["a", "salt"])
     own = own.withColumn("least_open", F.greatest(F.lit(1), F.ceil(F.col("over") / 100)))
     own = own.withColumn("least_any", F.greatest(F.ceil((F.col("least_over") + F.col("term")) / (100 + percent)), F.col("least_open")))
     own = own.where((~F.col("linked") & (F.size("diff") >= F.col("least_open"))) | (F.size("diff") >= F.col("least_any")))
@@ -261,7 +261,7 @@ def _meetings(shared: DataFrame) -> DataFrame:
 
 def _links_beside_leaders(compared: DataFrame, components: DataFrame, percent: int) -> DataFrame:
     """Links between two members of one leader, at least one of which isn't linked with it; only across components."""
-    shared = materialize(_shared_differences(compared, components, percent), "shared-differences")
+    shared = settled(_shared_differences(compared, components, percent), "shared-differences")
     # From their first common element on, they can share no more than what is left of the shorter rest (positional filter).
     enough = F.col("over") + F.col("term") <= (100 + percent) * (1 + F.least("rest", "rest_y"))
     pairs = _meetings(shared).where((F.col("x") != F.col("y")) & (F.col("component") != F.col("of_y")) & enough).select("a", "x", "y").distinct()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialize, text_batches
+from .common import discard, materialize, release_shuffles, text_batches
 
 MAX_TOKENS = 1024
 END_ID = 2
@@ -263,6 +263,7 @@ def _sequences(pieces: DataFrame, max_tokens: int, band: float) -> DataFrame:
         rest, before = state.where(~mine).select("kind", "id", "size"), state
         state = materialize(rest.union(pieces_left.select("kind", "id", "size")).union(gaps_left.where("size > 0").select("kind", "id", "size")), "state")
         discard(before)
+        release_shuffles(spark)  # of a round; many partitions make many small files
     discard(state)
     empty = pieces.select("id", F.col("id").alias("sequence_id")).where("false")
     return reduce(DataFrame.union, placed, empty)
