@@ -14,7 +14,8 @@ Packing is bulk-synchronous best fit.  Pieces of over half a sequence open one e
 4. gaps are updated, and what found no gap goes on to the next round; new sequences are opened, for the tokens that wait, only
    when no gap holds any of the band.
 
-No task sees more than one range, and the rounds depend on ``max_tokens``, not on the number of pieces.
+No task sees more than one range, and the rounds depend on ``max_tokens``, not on the number of pieces.  A round of at most
+``RANGE_ROWS`` pieces and gaps is one range, swept in one task without a shuffle and without step 3.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from .common import discard, materialize, release_shuffles, text_batches
 MAX_TOKENS = 1024
 END_ID = 2
 BAND = 0.75
+RANGE_ROWS = 100_000  # pieces and gaps of a round up to which it is one range
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a worker remembers before it starts anew; some 200 MB.
@@ -228,7 +230,7 @@ def _across_ranges(swept: DataFrame) -> DataFrame | None:
     return materialize(waiting.join(slots, ["of", "slot"]).select("id", "size", "sequence_id"), "across")
 
 
-def _sequences(pieces: DataFrame, max_tokens: int, band: float) -> DataFrame:
+def _sequences(pieces: DataFrame, max_tokens: int, band: float, range_rows: int) -> DataFrame:
     """``id, sequence_id`` of pieces ``id, length`` of at most half a sequence; longer ones have their own, named after them."""
     spark = pieces.sparkSession
     own = F.col("length") * 2 > max_tokens
@@ -237,31 +239,34 @@ def _sequences(pieces: DataFrame, max_tokens: int, band: float) -> DataFrame:
     of = lambda k, c: F.when(F.col("kind") == k, c)
     while True:
         room = F.sum(of(0, F.floor(F.col("size") / F.lit(bound))))
-        first = state.agg(F.count(of(1, 1)).alias("n"), F.max(of(1, F.col("size"))).alias("longest"), F.max(of(0, F.col("size"))).alias("gap"), room.alias("room")).first()
+        first = state.agg(F.count(F.lit(1)).alias("rows"), F.count(of(1, 1)).alias("n"), F.max(of(1, F.col("size"))).alias("longest"), F.max(of(0, F.col("size"))).alias("gap"), room.alias("room")).first()
         if not first["n"]:
             break
         bound = first["longest"]  # a bound of the next rounds' pieces too
         # All pieces take part if they surely fit, else the longest only.
         low = 0 if (first["room"] or 0) >= first["n"] else int(bound * band)
         mine = F.col("size") > low
-        waiting = state.where(mine & (F.col("kind") == 1)).agg(F.min("size").alias("least"), F.sum("size").alias("tokens")).first()
+        waiting = state.where(mine).agg(F.count(F.lit(1)).alias("rows"), F.min(of(1, F.col("size"))).alias("least"), F.sum(of(1, F.col("size"))).alias("tokens")).first()
+        new = 0
         if (first["gap"] or 0) < waiting["least"]:
             new = -(-waiting["tokens"] // max_tokens)
             gaps = spark.range(new).select(F.lit(0).alias("kind"), (-F.col("id") - (opened + 1)).alias("id"), F.lit(max_tokens).cast("long").alias("size"))
             state, opened = state.union(gaps), opened + new
         order = [F.desc("size"), "kind", "id"]
-        events = state.where(mine).repartitionByRange(*order).sortWithinPartitions(*order)
+        events, one_range = state.where(mine), waiting["rows"] + new <= range_rows
+        events = (events.coalesce(1) if one_range else events.repartitionByRange(*order)).sortWithinPartitions(*order)
         swept = materialize(events.mapInArrow(_sweep(bound), SWEPT), "swept")
         placed.append(swept.where("kind = 1 and sequence_id is not null").select("id", "sequence_id"))
         pieces_left, gaps_left = swept.where("kind = 1 and sequence_id is null"), swept.where("kind = 0")
-        across = _across_ranges(swept)
+        across = None if one_range else _across_ranges(swept)
         if across is not None:
             placed.append(across.select("id", "sequence_id"))
             pieces_left = pieces_left.join(across.select("id"), "id", "left_anti")
             taken = across.groupBy(F.col("sequence_id").alias("id")).agg(F.sum("size").alias("__taken"))
             gaps_left = gaps_left.join(taken, "id", "left").withColumn("size", F.col("size") - F.coalesce("__taken", F.lit(0)))
         rest, before = state.where(~mine).select("kind", "id", "size"), state
-        state = materialize(rest.union(pieces_left.select("kind", "id", "size")).union(gaps_left.where("size > 0").select("kind", "id", "size")), "state")
+        left = rest.union(pieces_left.select("kind", "id", "size")).union(gaps_left.where("size > 0").select("kind", "id", "size"))
+        state = materialize(left.coalesce(-(-(first["rows"] + new) // range_rows)) if one_range else left, "state")
         discard(before)
         release_shuffles(spark)  # of a round; many partitions make many small files
     discard(state)
@@ -269,7 +274,7 @@ def _sequences(pieces: DataFrame, max_tokens: int, band: float) -> DataFrame:
     return reduce(DataFrame.union, placed, empty)
 
 
-def best_fit(pieces: DataFrame, max_tokens: int = MAX_TOKENS, band: float = BAND) -> DataFrame:
+def best_fit(pieces: DataFrame, max_tokens: int = MAX_TOKENS, band: float = BAND, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to max_tokens each.
 
     Repeated rows are pieces of their own, and pieces of equal length go in any order.  An empty table gives an empty one.
@@ -280,7 +285,7 @@ def best_fit(pieces: DataFrame, max_tokens: int = MAX_TOKENS, band: float = BAND
     limits = numbered.agg(F.min("length").alias("a"), F.max("length").alias("z"), F.count(F.when(F.col("length").isNull(), 1)).alias("none")).first()
     if limits["none"] or (limits["a"] is not None and not 1 <= limits["a"] <= limits["z"] <= max_tokens):
         raise ValueError(f"lengths must be from 1 to {max_tokens}")
-    found = _sequences(numbered.select(F.col("__id").alias("id"), "length"), max_tokens, band).toDF("__id", "__seq")
+    found = _sequences(numbered.select(F.col("__id").alias("id"), "length"), max_tokens, band, range_rows).toDF("__id", "__seq")
     rows = numbered.join(found, "__id", "left").withColumn("sequence_id", F.coalesce("__seq", "__id"))
     upto = Window.partitionBy("sequence_id").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0)  # a sequence's pieces
     return rows.select(*pieces.columns, "sequence_id", (F.sum("length").over(upto) - F.col("length")).cast("long").alias("offset"))

@@ -397,6 +397,33 @@ def test_successor_sweeps_pack_like_best_fit_decreasing(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_small_rounds_are_one_range(spark):
+    """Few pieces don't make a task for each shuffle partition in each round; several ranges pack as well."""
+    rng = random.Random(1)
+    lengths = [rng.randint(1, 64) for _ in range(300)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "id long, length long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    tasks, status = {}, spark.sparkContext.statusTracker()
+    try:
+        for partitions, rows in ((40, packing.RANGE_ROWS), (4, 0)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            spark.sparkContext.setJobGroup(f"packing-{rows}", "")
+            got = packing._sequences(df, 64, packing.BAND, rows).collect()
+            stages = {s for j in status.getJobIdsForGroup(f"packing-{rows}") for s in status.getJobInfo(j).stageIds}
+            tasks[rows] = sum(x.numTasks for x in map(status.getStageInfo, stages) if x)
+            room = collections.Counter({i: 64 - n for i, n in enumerate(lengths) if 2 * n > 64})
+            for r in got:
+                room[r["sequence_id"]] = room.get(r["sequence_id"], 64) - lengths[r["id"]]
+            assert sorted(r["id"] for r in got) == [i for i, n in enumerate(lengths) if 2 * n <= 64] and min(room.values()) >= 0
+            assert len(room) <= best_fit_decreasing(lengths, 64) + 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext._jsc.clearJobGroup()
+    assert tasks[packing.RANGE_ROWS] < tasks[0]
+
+
 def test_ranges_match_as_one_sweep_would():
     """Cut a falling list of gaps and pieces anywhere: sweeps of the parts and the match by rank place as one sweep does."""
     import pyspark
