@@ -26,9 +26,11 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +42,8 @@ CLASSES = 64
 ADD = 0.1  # smoothing of transitions
 FLUSH = 400_000  # distinct words or bigrams a task holds before it passes counts on
 NEIGHBOURS = 4_000_000  # neighbours of rarer words a task holds before it passes them on
-SLICES = 4  # rounds in which chunks meet their classes; all are worked through
-CHUNK = 100_000  # rarer words numbered together; a chunk ends with the text that reaches it
+SLICES = 2  # rounds in which chunks meet their classes; all are worked through
+CHUNK = 500_000  # rarer words numbered together; a chunk ends with the text that exceeds it
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -69,8 +71,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ids(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
     """Indices of the words, len(index) for others; the end, len(index) + 1, before and after."""
     other = len(index)
-    get = index.get
-    return np.array([other + 1, *[get(w, other) for w in words], other + 1], np.int64)
+    ids = np.full(len(words) + 2, other + 1, np.int64)
+    ids[1:-1] = np.fromiter(map(index.get, words, repeat(other)), np.int64, len(words))
+    return ids
 
 
 def _count_bigrams(index: dict[bytes, int]):
@@ -176,20 +179,20 @@ def _neighbours(index: dict[bytes, int], classes: np.ndarray, kind: type):
             return pa.record_batch([pa.array(list(seen), pa.binary()), pa.array([bytes(x) for x in seen.values()], pa.binary())], ["word", "near"])
 
         seen: dict[bytes, bytearray] = {}
-        held, size = 0, 2 * np.dtype(kind).itemsize
+        held, two = 0, np.dtype((np.void, 2 * np.dtype(kind).itemsize))
         for b in batches:
             for text in texts_of(b.column(0)):
                 words = tokens(text)
                 ids = _ids(words, index)
                 c = classes[ids].astype(kind)
                 at = np.flatnonzero(ids[1:-1] == other)
-                near = np.column_stack([c[at], c[at + 2]]).tobytes()
-                for i, k in enumerate(at.tolist()):
-                    w, two = words[k], near[i * size : (i + 1) * size]
+                near = np.column_stack([c[at], c[at + 2]]).view(two).ravel().tolist()
+                for k, sides in zip(at.tolist(), near):
+                    w = words[k]
                     if w in seen:
-                        seen[w] += two
+                        seen[w] += sides
                     else:
-                        seen[w] = bytearray(two)
+                        seen[w] = bytearray(sides)
                 held += len(at)
                 if len(seen) > FLUSH or held > NEIGHBOURS:
                     yield out(seen)
@@ -216,14 +219,14 @@ def _assign(big: np.ndarray, classes: int, kind: type):
         for b in batches:
             if not b.num_rows:
                 continue
-            rows, near = b.column(0).to_pylist(), b.column(1).to_pylist()
-            words, at = [] if last is None else [last], []
-            for w in rows:
-                if not words or words[-1] != w:
-                    words.append(w)
-                at.append(len(words) - 1)
+            rows, near = b.column(0), b.column(1).to_pylist()
+            other = np.ones(b.num_rows, bool)  # words that differ from the row before
+            other[1:] = pc.not_equal(rows.slice(1), rows.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+            other[0] = last is None or rows[0].as_py() != last
+            words = ([] if last is None else [last]) + rows.filter(pa.array(other)).to_pylist()
+            at = np.cumsum(other) - (last is None)
             flat = np.frombuffer(b"".join(near), kind).astype(np.int64).reshape(-1, 2)
-            of = np.repeat(np.array(at), [len(x) // (2 * np.dtype(kind).itemsize) for x in near]) * (2 * total)
+            of = np.repeat(at, [len(x) // (2 * np.dtype(kind).itemsize) for x in near]) * (2 * total)
             cells = np.bincount(of + flat[:, 0], minlength=len(words) * 2 * total) + np.bincount(of + total + flat[:, 1], minlength=len(words) * 2 * total)
             cells = cells.reshape(len(words), 2 * total).astype(float)
             if last is not None:
@@ -324,7 +327,7 @@ def _number(model: Model):
             words = list(seen)
             for i in range(0, len(words), 10_000):
                 part = words[i : i + 10_000]
-                cols = [pa.array([chunk] * len(part), pa.int64()), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part, pa.binary())]
+                cols = [pa.array(np.full(len(part), chunk)), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part, pa.binary())]
                 yield pa.record_batch(cols + [pa.nulls(len(part), t) for t in kinds[3:]], names)
 
         for b in batches:

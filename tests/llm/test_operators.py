@@ -216,6 +216,20 @@ def test_rare_words_get_classes(spark):
     assert lm.score(docs, model, rare).count() == 400
 
 
+def test_words_that_recur_in_a_chunk_are_numbered_once(monkeypatch):
+    """Each row of a chunk's words meets its class in a shuffle, so texts with the same 120,000 words must share a chunk."""
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    vocabulary = [f"w{i}" for i in range(120_000)]
+    model = lm.Model({}, np.zeros(0), np.array([2, 3]), np.zeros((6, 6)), np.zeros(2), np.ones(2), 240_002, 120_001, 2)
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([" ".join(vocabulary), " ".join(vocabulary[::-1])])], ["doc_id", "text"])
+    out = pa.Table.from_batches(list(lm._number(model)(iter([batch])))).to_pylist()
+    assert [r["word"].decode() for r in sorted((r for r in out if r["id"] is not None), key=lambda r: r["id"])] == vocabulary
+    of = [np.ascontiguousarray(np.frombuffer(r["others"], np.uint8).reshape(4, -1).T).view(np.int32).ravel().tolist() for r in out if r["id"] is None]
+    assert of == [list(range(120_000)), list(range(120_000))[::-1]]
+
+
 # --- 5 -------------------------------------------------------------------------------------------
 
 
