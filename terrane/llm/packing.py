@@ -20,10 +20,12 @@ No task sees more than one range, and the rounds depend on ``max_tokens``, not o
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,36 +39,17 @@ BAND = 0.75
 RANGE_ROWS = 100_000  # pieces and gaps of a round up to which it is one range
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker remembers before it starts anew; some 200 MB.
-REMEMBERED = 1_000_000
-
-
-class _Odd(Exception):
-    """A space that doesn't stand alone between two words: the text is encoded as a whole."""
-
-
-class _Words(dict):
-    """Ids, as little-endian bytes, of words as they stand after ``before``."""
-
-    def __init__(self, encode, before: str):
-        self.encode, self.before = encode, before
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _Odd
-        ids = self.encode(self.before + word)
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
+#: Words whose ids a worker remembers, some 400 MB; beyond, those not seen lately are forgotten.
+REMEMBERED = 2_000_000
 
 
 class Encoder:
     """Ids of whole texts by the ``tokenizers`` library.
 
     The pre-tokenizer always cuts before a lone space or line feed between two words, and merges never cross its cuts, so the
-    ids of such a text are those of its words one after another; words recur and their ids are remembered.
+    ids of such a text are those of its words one after another; words recur and their ids are remembered. A text's new words
+    are encoded in one call and told apart by the ids that begin with a space or line feed. There is a cut between a letter and
+    the punctuation at a word's end too, so words are encoded without it.
     """
 
     def __init__(self, path: str):
@@ -74,28 +57,77 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.bare, self.spaced = _Words(self.whole, ""), _Words(self.whole, " ")
-        self.feed = self.whole("\n")
+        vocab = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t.startswith(("\u0120", "\u010a"))]] = True  # space and line feed, as byte-level tokens spell them
+        #: Ids, as little-endian bytes, of words after a space, or after the line feed they begin with; those of the time before in old.
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.feed = len(self.whole("\n"))
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join([x.to_bytes(4, "little") for x in ids])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        out, bare, spaced = [], self.bare, self.spaced.__getitem__
-        try:
-            for line in text.split("\n"):
-                words = line.split(" ")
-                out.append(self.feed)
-                out.append(bare[words[0]])
-                del words[0]
-                out.extend(map(spaced, words))
-        except _Odd:
-            return self.whole(text)
-        del out[0]
-        return b"".join(out)
+        words = f"\n{text}".replace("\n", " \n").split(" ")
+        del words[0]
+        found = list(map(self.known.get, words))
+        at = [k for k, x in enumerate(found) if x is None]
+        if at:
+            ids = self._learn({words[k] for k in at})
+            if ids is None:
+                return self.whole(text)
+            for k in at:
+                found[k] = ids[words[k]]
+        return b"".join(found)[self.feed :]
+
+    def _learn(self, new: set[str]) -> dict[str, bytes] | None:
+        """Ids of words that ``known`` lacks; None if a space among them doesn't stand alone between two words."""
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.old, self.tails = {}, self.known, {}
+        known, old, tails = self.known, self.old, self.tails
+        out, fresh, tailed = {}, set(), []
+        for w in new:
+            if w in old:
+                out[w] = known[w] = old[w]
+                continue
+            core = w if w[:1] != "\n" else w[1:]
+            if not core or core.strip() != core:
+                return None
+            if not w[-1].isalpha() and len(w) <= 64:
+                stem = w.rstrip(string.punctuation)
+                if len(stem) < len(w) and stem[-1:].isalpha() and stem[-1] < "\u0250":  # letters in any version of Unicode
+                    tailed.append((w, stem))
+                    if stem in old:
+                        known[stem] = old[stem]
+                    elif stem not in known:
+                        fresh.add(stem)
+                    continue
+            fresh.add(w)
+        some = list(fresh)
+        for k in range(0, len(some), 10_000):
+            out.update(self._encode(some[k : k + 10_000]))
+        for w, stem in tailed:
+            tail = w[len(stem) :]
+            if tail not in tails:
+                tails[tail] = self.whole(tail)
+            if stem in fresh:
+                out[w] = out[stem] + tails[tail]
+            else:  # words that recur are remembered with their punctuation too
+                out[w] = known[w] = known[stem] + tails[tail]
+        known.update([(w, out[w]) for w in some if len(w) <= 64])
+        return out
+
+    def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        spaced = [w if w[0] == "\n" else f" {w}" for w in words]
+        ids = self.whole("".join(spaced))
+        at = (4 * np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")])).tolist()
+        if len(at) != len(words) or at[0]:  # a vocabulary whose ids don't tell where words begin
+            return zip(words, map(self.whole, spaced))
+        return zip(words, [ids[a:z] for a, z in zip(at, [*at[1:], len(ids)])])
 
 
 _encoders: dict[str, Encoder] = {}

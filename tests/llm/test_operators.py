@@ -378,6 +378,35 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_new_words_of_a_text_are_encoded_in_one_call(monkeypatch):
+    import public_tokenizers
+
+    class Counting(packing.Encoder):
+        calls = 0
+
+        def whole(self, text):
+            self.calls += 1
+            return super().whole(text)
+
+    encoder = Counting(public_tokenizers.path(packing.VOCABULARY))
+    want = lambda text: struct.pack(f"<{len(x)}I", *x) if (x := encoder.tokenizer.encode(text, add_special_tokens=False).ids) else b""
+    text = " ".join(f"word{k}\nstem{'abcdefghij'[k % 10] * (k // 10)}.,%%%" for k in range(200))
+    encoder.calls = 0
+    assert encoder.ids(text) == want(text) and encoder.calls <= 5
+    assert encoder.ids(text) == want(text) and encoder.calls <= 5
+
+    monkeypatch.setattr(packing, "REMEMBERED", 40)  # words are forgotten and remembered again
+    rng = random.Random(5)
+    some = ["a", "Be", "it", "é", "ß", "e\u0301", "д", "漢", "1", "٣", "'s", "'", "'ll", ".", ",", "...", "$%", "×", "_", "\u0250", "<|endoftext|>", "x" * 70, "\u200b", "\0"]
+    gaps = [" "] * 30 + ["\n"] * 6 + ["  ", "\n\n", " \n", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x85"]
+    for plain in (True, False):
+        for _ in range(1500):
+            words = ["".join(rng.choices(some, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 6))]
+            text = "".join(w + rng.choice(gaps[:36] if plain else gaps) for w in words)
+            text = text[:-1] if plain else rng.choice(["", " ", "\n"]) + text
+            assert encoder.ids(text) == want(text), repr(text)
+
+
 def best_fit_decreasing(lengths, room):
     """Sequences that best-fit decreasing opens."""
     gaps = []
